@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quadloom.operators import bindings as B
 from quadloom.plans.rules import Bind, CellPlan, Group, Pattern, Program
-from quadloom.terms import same_term, triple
+from quadloom.terms import barrier, same_term, triple
 
 
 def let(value: Column, body) -> Column:
@@ -134,6 +134,7 @@ def _concat(parts: list[Column]) -> Column:
 
 def apply_program(msgs: DataFrame, program: Program) -> DataFrame:
     """Apply compiled steps in order to nested messages."""
-    return reduce(
+    out = reduce(
         lambda df, step: apply_cell(df, step.plan, (step.position, step.ordinal)), program.active, msgs
     )
+    return barrier(out, "triples") if program.active else out

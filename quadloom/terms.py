@@ -73,6 +73,15 @@ def flatten_terms(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*out)
 
 
+def barrier(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep later filters on ``columns`` above the expressions that compute them.
+
+    Pushed below a chain of row-local steps, a filter would repeat the whole chain once per use.
+    A generator of exactly one row stops that and costs next to nothing."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline_outer(F.array(F.struct(*columns)))).select(*df.columns)
+
+
 def to_long(msgs: DataFrame) -> DataFrame:
     """Nested messages to quads. ``inline_outer`` keeps the plan linear in the number of steps:
     plain ``inline`` makes the optimizer copy every step into an inferred size filter."""
