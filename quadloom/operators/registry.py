@@ -35,11 +35,19 @@ def next_id(table: DataFrame) -> int:
 
 
 def add_verdicts(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Verdict per new rule set: ``created``, ``already`` (same content) or ``conflict``."""
-    old = existing.select(*KEY, content_hash("source_text").alias("old_hash"))
-    same = F.col("old_hash") == content_hash("source_text")
-    verdict = F.when(F.col("old_hash").isNull(), "created").when(same, "already").otherwise("conflict")
-    return new.join(old, KEY, "left").withColumn("verdict", verdict).drop("old_hash")
+    """Verdict per new rule set: ``created``, ``already`` (same content) or ``conflict``.
+
+    Equal rule sets in one batch count once; of different ones under one key a single one is
+    created, picked by content hash so that a rerun picks the same."""
+    hashed = new.withColumn("_hash", content_hash("source_text")).dropDuplicates([*KEY, "_hash"])
+    old = existing.select(*KEY, content_hash("source_text").alias("_old"))
+    first = hashed.groupBy(*KEY).agg(F.min("_hash").alias("_first"))
+    reference = F.coalesce("_old", "_first")
+    verdict = (
+        F.when(F.col("_hash") != reference, "conflict").when(F.col("_old").isNull(), "created").otherwise(F.lit("already"))
+    )
+    joined = hashed.join(first, KEY).join(old, KEY, "left")
+    return joined.withColumn("verdict", verdict).select(*new.columns, "verdict")
 
 
 def add_alignments(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
