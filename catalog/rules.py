@@ -88,4 +88,10 @@ CELLS: dict[str, Cell] = {
 }
 
 REPEATED = Cell("loop", (t("?x", S + "pairs", "?x"),), (t("?x", D + "loop", text("true", V.BOOLEAN)),))
-
+DROP_ALL = Cell(
+    "drop_all",
+    (
+        t("?e", S + "observation", "?o"), t("?e", V.RDF_TYPE, "?c"), t("?e", S + "user", "?u"),
+        t("?o", S + "value", "?v"), t("?o", S + "k", "?k"),
+    ),
+)
