@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quadloom import vocab as V
-from quadloom.lift import SRC, epoch_seconds, money, read
+from quadloom.lift import SRC, epoch_seconds, money, read, spread
 from quadloom.sources.rule_tables import TABLES
 
 D = "http://example.org/dst#"
@@ -18,7 +18,7 @@ def _text(c: str) -> Column:
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON-LD text on one topic per event type."""
-    ev = read(spark, sf_dir, "events")
+    ev = spread(read(spark, sf_dir, "events"))
     k = F.regexp_extract("props", r'"k"\s*:\s*(\d+)', 1)
     k_json = F.when(k.try_cast("int") % 2 == 0, k).otherwise(F.concat(F.lit('"'), k, F.lit('"')))
     raw = F.concat(

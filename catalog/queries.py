@@ -16,6 +16,7 @@ from quadloom.operators import jsonld as J, payload as P, quality as Q, registry
 from quadloom.operators import routing, translate as TR
 from quadloom.plans.lineage import ensure_checkpoint_dir
 from quadloom.plans.rules import Program, Step, compile_cell, compile_program, pattern as t
+from quadloom.session import prepare
 from quadloom.sources import rule_documents as RD, rule_tables as RT, topics
 from quadloom.streaming.channels import run_stream_once, translate_stream
 from quadloom.terms import TERM_DDL, literal, to_long
@@ -26,7 +27,11 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str):
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         return fn
 
     return add
@@ -44,7 +49,7 @@ def event_payload(spark, sf) -> DataFrame:
 
 
 def event_msgs(spark, sf) -> DataFrame:
-    return lift.events_nested(lift.read(spark, sf, "events"))
+    return lift.events_nested(lift.spread(lift.read(spark, sf, "events")))
 
 
 def orders(spark, sf) -> DataFrame:
@@ -94,13 +99,13 @@ def _cell_queries() -> None:
         def relational(spark, sf, cell=cell, source=source):
             return flat(R.apply_cell(source(spark, sf), compile_cell(cell)))
 
-        QUERIES[f"cell_{name}"] = relational
+        query(f"cell_{name}")(relational)
         if source is event_payload:
 
             def nested(spark, sf, cell=cell):
                 return flat(nested_payload(TR.translate_small(event_msgs(spark, sf), one_step(cell))))
 
-            QUERIES[f"cell_{name}_nested"] = nested
+            query(f"cell_{name}_nested")(nested)
 
 
 _cell_queries()
@@ -175,10 +180,11 @@ def _(spark, sf):
 
 
 def _values(df: DataFrame, **terms) -> DataFrame:
+    """Value and datatype of each computed term, every term evaluated once."""
     cols = []
-    for name, term in terms.items():
-        cols += [term["value"].alias(name), term["dt"].alias(name + "_dt")]
-    return df.select("key", *cols)
+    for name in terms:
+        cols += [F.col(name)["value"].alias(name), F.col(name)["dt"].alias(name + "_dt")]
+    return df.select("key", *[term.alias(name) for name, term in terms.items()]).select("key", *cols)
 
 
 def _c(value: str, dt: str = V.STRING):
@@ -187,7 +193,7 @@ def _c(value: str, dt: str = V.STRING):
 
 @query("functions_string")
 def _(spark, sf):
-    d = lift.read(spark, sf, "documents")
+    d = lift.spread(lift.read(spark, sf, "documents"))
     x, f = literal(F.col("text")), FN.call
     return _values(
         d.withColumn("key", F.col("doc_id")),
@@ -203,7 +209,7 @@ def _(spark, sf):
 
 @query("functions_arithmetic")
 def _(spark, sf):
-    li = lift.read(spark, sf, "lineitem")
+    li = lift.spread(lift.read(spark, sf, "lineitem"))
     q, p = literal(lift.money(F.col("l_quantity")), V.DECIMAL), literal(lift.money(F.col("l_extendedprice")), V.DECIMAL)
     n, part = literal(F.col("l_linenumber").cast("string"), V.INTEGER), literal(F.col("l_partkey").cast("string"), V.INTEGER)
     f = FN.call
@@ -218,7 +224,7 @@ def _(spark, sf):
 
 @query("functions_numeric")
 def _(spark, sf):
-    p = lift.read(spark, sf, "customer")
+    p = lift.spread(lift.read(spark, sf, "customer"))
     x = literal(lift.money(F.col("c_acctbal")), V.DECIMAL)
     i = literal(F.col("c_custkey").cast("string"), V.INTEGER)
     f = FN.call
@@ -231,7 +237,7 @@ def _(spark, sf):
 
 @query("functions_date")
 def _(spark, sf):
-    e = lift.read(spark, sf, "events")
+    e = lift.spread(lift.read(spark, sf, "events"))
     zone = F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "-05:30").otherwise(F.lit(""))
     x = literal(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), zone), V.DATETIME)
     f = FN.call
@@ -246,14 +252,14 @@ def _(spark, sf):
 
 @query("functions_hash")
 def _(spark, sf):
-    d = lift.read(spark, sf, "documents")
+    d = lift.spread(lift.read(spark, sf, "documents"))
     x, f = literal(F.col("text")), FN.call
     return _values(d.withColumn("key", F.col("doc_id")), md5=f("MD5", [x]), sha1=f("SHA1", [x]), sha256=f("SHA256", [x]))
 
 
 @query("functions_term")
 def _(spark, sf):
-    c = lift.read(spark, sf, "customer")
+    c = lift.spread(lift.read(spark, sf, "customer"))
     name, key = literal(F.col("c_name")), lift.node("customer", F.col("c_custkey"))
     tag = _c("en-GB")
     tagged, f = FN.call("STRLANG", [name, tag]), FN.call
@@ -268,7 +274,7 @@ def _(spark, sf):
 
 @query("functions_condition")
 def _(spark, sf):
-    c = lift.read(spark, sf, "customer")
+    c = lift.spread(lift.read(spark, sf, "customer"))
     bal = literal(lift.money(F.col("c_acctbal")), V.DECIMAL)
     building = literal((F.col("c_mktsegment") == "BUILDING").cast("string"), V.BOOLEAN)
     missing, f = F.lit(None).cast(TERM_DDL), FN.call
@@ -280,7 +286,7 @@ def _(spark, sf):
 
 @query("functions_cast")
 def _(spark, sf):
-    p = lift.read(spark, sf, "customer")
+    p = lift.spread(lift.read(spark, sf, "customer"))
     dec, i, s = literal(lift.money(F.col("c_acctbal")), V.DECIMAL), literal(F.col("c_custkey").cast("string"), V.INTEGER), literal(F.col("c_name"))
     f = FN.call
     return _values(
@@ -553,7 +559,7 @@ for _name, _check in {
     "quality_malformed_entities": Q.malformed_entities,
     "quality_report": Q.quality_report,
 }.items():
-    QUERIES[_name] = lambda spark, sf, check=_check: _report(check(C.rule_corpus(spark, sf)))
+    query(_name)(lambda spark, sf, check=_check: _report(check(C.rule_corpus(spark, sf))))
 
 
 @query("quality_step_order")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from quadloom import vocab as V
-from quadloom.terms import checked, literal
+from quadloom.terms import checked, let, literal
 
 INT, DEC, FLT, DBL = 1, 2, 3, 4
 INT_T = "decimal(38,0)"
@@ -57,68 +57,67 @@ def int_text(c: Column) -> Column:
 
 def dec_text(c: Column) -> Column:
     """Canonical decimal: no trailing zeros, at least one digit after the point."""
-    return F.regexp_replace(F.regexp_replace(c.cast(WIDE_T).cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.regexp_replace(F.rtrim(c.cast(WIDE_T).cast("string"), F.lit("0")), r"\.$", ".0")
 
 
 def dbl_text(c: Column) -> Column:
     """Shortest form of a double, always with an exponent."""
-    s = c.cast("string")
-    return (
-        F.when(F.isnan(c), "NaN")
-        .when(c == float("inf"), "INF")
-        .when(c == float("-inf"), "-INF")
-        .when(s.contains("E"), F.replace(s, F.lit("E"), F.lit("e")))
-        .otherwise(F.concat(s, F.lit("e0")))
-    )
+
+    def text(x: Column) -> Column:
+        short = F.replace(x.cast("string"), F.lit("E"), F.lit("e"))
+        return (
+            F.when(F.isnan(x), "NaN")
+            .when(x == float("inf"), "INF")
+            .when(x == float("-inf"), "-INF")
+            .otherwise(F.regexp_replace(short, r"^([^e]+)$", "$1e0"))
+        )
+
+    return let(c, text)
+
+
+def _literal(value: Column, dt: str) -> Column:
+    return let(value, lambda v: checked(v, literal(v, dt)))
 
 
-def number(r: Column, i: Column, d: Column, x: Column) -> Column:
-    """Literal of family ``r`` from the value computed in each family. A decimal outside the exact
-    range falls back to the double result."""
-    # WIDE_T holds 26 whole digits; the double is approximate beyond the exact range.
-    dec = dec_text(F.coalesce(d.try_cast(WIDE_T), x.try_cast(WIDE_T)))
-    value = F.when(r == INT, int_text(i)).when(r == DEC, dec).when(r.isin(FLT, DBL), dbl_text(x))
-    dt = F.when(r == INT, V.INTEGER).when(r == DEC, V.DECIMAL).when(r == FLT, V.FLOAT).otherwise(F.lit(V.DOUBLE))
-    return checked(value, literal(value, dt))
+def number(family: Column, i: Column, d: Column, x: Column) -> Column:
+    """Literal of a numeric family. Only the branch of the family is evaluated. A decimal outside
+    the exact range falls back to the double result."""
+
+    def pick(r: Column) -> Column:
+        return (
+            F.when(r == INT, _literal(int_text(i), V.INTEGER))
+            .when(r == DEC, _literal(dec_text(F.coalesce(d.try_cast(WIDE_T), x.try_cast(WIDE_T))), V.DECIMAL))
+            .when(r == FLT, _literal(dbl_text(x), V.FLOAT))
+            .when(r == DBL, _literal(dbl_text(x), V.DOUBLE))
+        )
+
+    return let(family, pick)
 
 
 _TRY = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}
+_IEEE = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b}
 
 
 def infix(op: str):
-    """Left-associative n-ary arithmetic."""
+    """Left-associative n-ary arithmetic. Whole numbers divide as decimals."""
 
     def build(*args: Column) -> Column:
         if len(args) == 1:
             return F.when(rank(args[0]).isNotNull(), args[0])
-        ranks = [rank(a) for a in args]
-        known = reduce(lambda a, b: a & b, [r.isNotNull() for r in ranks])
-        top = F.when(known, F.greatest(*ranks, F.lit(DEC if op == "/" else INT)))
-
-        def fold(values):
-            # Integer operands of a wider family are exact there, too.
-            return reduce(_TRY[op], values)
-
-        def fold_dec(values):
-            acc = values[0]
-            for v in values[1:]:
-                acc = _TRY[op](acc, v).try_cast(WIDE_T)
-            return acc
-
-        ints = fold([as_int(a) for a in args]) if op != "/" else F.lit(None).cast(INT_T)
+        ranks = F.array(*[rank(a) for a in args])
+        lowest = F.lit(DEC if op == "/" else INT)
+        family = let(ranks, lambda r: F.when(~F.exists(r, lambda x: x.isNull()), F.greatest(F.array_max(r), lowest)))
+        ints = F.lit(None).cast(INT_T)
         if op != "/":
-            ints = ints.try_cast(INT_T)
-        # Division by zero: NULL for exact numbers, infinity or NaN for floating point.
+            ints = reduce(_TRY[op], [as_int(a) for a in args]).try_cast(INT_T)
+        dec = reduce(lambda a, b: _TRY[op](a, b).try_cast(WIDE_T), [as_dec(a) for a in args])
         doubles = [as_dbl(a) for a in args]
         if op == "/":
-            dbl = reduce(_ieee_divide, doubles)
-        else:
-            dbl = reduce({"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b}[op], doubles)
-        decs = [as_dec(a) for a in args]
-        dec = fold_dec(decs)
-        zero = reduce(lambda a, b: a | b, [F.coalesce(x == 0, F.lit(False)) for x in doubles[1:]])
-        exact_dbl = F.when(~zero, dbl) if op == "/" else dbl
-        return number(top, ints, dec, F.when(top == DEC, exact_dbl).otherwise(dbl))
+            # Division by zero: an error for exact numbers, infinity or NaN for floating point.
+            zero = reduce(lambda a, b: a | b, [F.coalesce(as_dbl(a) == 0, F.lit(False)) for a in args[1:]])
+            exact = F.coalesce(dec, F.when(~zero, reduce(_ieee_divide, doubles).try_cast(WIDE_T)))
+            return number(family, ints, exact, F.when((family > DEC), reduce(_ieee_divide, doubles)))
+        return number(family, ints, dec, reduce(_IEEE[op], doubles))
 
     return build
 

@@ -21,6 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-local work on an input of fewer partitions than cores, such as one
+    small file. Inputs of cluster size have more partitions and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text(col: Column) -> Column:
     return col.cast("string")
 

@@ -10,6 +10,8 @@ from quadloom.functions import registry
 from quadloom.plans.rules import Bind, Group, Pattern, Slot, Term
 from quadloom.terms import TERM, checked, iri, literal, make_term
 
+#: Names of precomputed blank node labels among the variables of a solution.
+FRESH = "_:fresh:"
 Env = Callable[[str], "Column | None"]
 
 
@@ -48,6 +50,11 @@ def fresh_label(label: str, group: Group, env: Env, msg_id: Column, scope: tuple
     return F.concat(F.lit("b"), F.md5(F.concat_ws("\u0001", *parts)))
 
 
+def fresh_names(group: Group) -> list[str]:
+    """Blank nodes the templates of a group mention, each once."""
+    return sorted({x.fresh for q in group.insert for x in q.slots if x.fresh is not None})
+
+
 def template(pat: Pattern, group: Group, env: Env, msg_id: Column, scope: tuple[int, int]):
     """``(s, p, o)`` of an instantiated template, and whether it is a valid triple.
 
@@ -56,7 +63,8 @@ def template(pat: Pattern, group: Group, env: Env, msg_id: Column, scope: tuple[
 
     def slot(x: Slot) -> Column:
         if x.fresh is not None:
-            return make_term("bnode", fresh_label(x.fresh, group, env, msg_id, scope))
+            known = env(FRESH + x.fresh)
+            return make_term("bnode", fresh_label(x.fresh, group, env, msg_id, scope) if known is None else known)
         if x.var:
             col = env(x.var)
             return unbound() if col is None else col

@@ -13,12 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quadloom.operators import bindings as B
 from quadloom.plans.rules import Bind, CellPlan, Group, Pattern, Program
-from quadloom.terms import barrier, same_term, triple
-
-
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+from quadloom.terms import barrier, let, same_term, triple
 
 
 def _names(variables) -> dict[str, str]:
@@ -62,7 +57,7 @@ def _solutions(triples: Column, group: Group, names: dict[str, str]) -> Column:
     return let(candidates, lambda found: level(found, 0, {}))
 
 
-def solutions(triples: Column, group: Group) -> tuple[Column, dict[str, str]]:
+def solutions(triples: Column, group: Group, msg_id: Column, scope: tuple[int, int]) -> tuple[Column, dict[str, str]]:
     """Solutions of a group with filters applied and computed variables added one after another,
     so that no expression is repeated for a later function that reads it."""
     names = _names(group.variables)
@@ -72,7 +67,10 @@ def solutions(triples: Column, group: Group) -> tuple[Column, dict[str, str]]:
     for i, bind in enumerate(group.binds):
         rows = _extended(rows, bind, dict(names), f"f{i}")
         names[bind.out] = f"f{i}"
-    return rows, names
+    labels = {f"n{i}": x for i, x in enumerate(B.fresh_names(group))}
+    if labels:
+        rows = _labelled(rows, labels, group, dict(names), msg_id, scope)
+    return rows, {**names, **{B.FRESH + x: c for c, x in labels.items()}}
 
 
 def _filtered(rows: Column, field: str, datatype: str) -> Column:
@@ -86,6 +84,16 @@ def _extended(rows: Column, bind: Bind, names: dict[str, str], field: str) -> Co
     return F.transform(rows, extend)
 
 
+def _labelled(rows: Column, labels: dict[str, str], group: Group, names: dict[str, str], msg_id: Column, scope) -> Column:
+    def extend(b: Column) -> Column:
+        env = lambda v: b[names[v]] if v in names else None
+        for field, label in labels.items():
+            b = b.withField(field, B.fresh_label(label, group, env, msg_id, scope))
+        return b
+
+    return F.transform(rows, extend)
+
+
 def _instantiate(rows: Column, names: dict[str, str], patterns, group: Group, msg_id: Column, scope) -> Column | None:
     if not patterns:
         return None
@@ -101,12 +109,15 @@ def _instantiate(rows: Column, names: dict[str, str], patterns, group: Group, ms
     return F.filter(F.flatten(F.transform(rows, one)), lambda t: t.isNotNull())
 
 
-def apply_cell(msgs: DataFrame, cell: CellPlan, scope: tuple[int, int] = (0, 0)) -> DataFrame:
-    """One cell over messages ``msg_id, triples, ...``; all other columns pass through."""
+def apply_cell(
+    msgs: DataFrame, cell: CellPlan, scope: tuple[int, int] = (0, 0), guard: Column | None = None
+) -> DataFrame:
+    """One cell over messages ``msg_id, triples, ...``; all other columns pass through. With
+    ``guard``, rows where it does not hold are left alone, and cost nothing."""
     work, parts = msgs, []
     for i, group in enumerate(cell.groups):
-        rows, names = solutions(F.col("triples"), group)
-        work = work.withColumn(f"_rows{i}", rows)
+        rows, names = solutions(F.col("triples"), group, F.col("msg_id"), scope)
+        work = work.withColumn(f"_rows{i}", rows if guard is None else F.when(guard, rows))
         parts.append((F.col(f"_rows{i}"), names, group))
     deleted, inserted = [], []
     for rows, names, group in parts:
@@ -124,6 +135,8 @@ def apply_cell(msgs: DataFrame, cell: CellPlan, scope: tuple[int, int] = (0, 0))
         new = let(new, lambda kept: F.concat(kept, F.array_except(made, kept)))
     # A rule holds as a whole: every group needs a solution.
     fires = reduce(lambda a, b: a & b, [F.size(rows) > 0 for rows, _, _ in parts])
+    if guard is not None:
+        fires = guard & fires
     work = work.withColumn("triples", F.when(fires, new).otherwise(F.col("triples")))
     return work.drop(*[f"_rows{i}" for i in range(len(parts))])
 
@@ -132,9 +145,9 @@ def _concat(parts: list[Column]) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def apply_program(msgs: DataFrame, program: Program) -> DataFrame:
+def apply_program(msgs: DataFrame, program: Program, guard: Column | None = None) -> DataFrame:
     """Apply compiled steps in order to nested messages."""
-    out = reduce(
-        lambda df, step: apply_cell(df, step.plan, (step.position, step.ordinal)), program.active, msgs
-    )
+    out = msgs
+    for step in program.active:
+        out = apply_cell(out, step.plan, (step.position, step.ordinal), guard)
     return barrier(out, "triples") if program.active else out

@@ -80,8 +80,10 @@ def bind_functions(bindings: DataFrame, binds) -> DataFrame:
     return bindings
 
 
-def solve(triples: DataFrame, group: Group, msgs: DataFrame | None) -> tuple[DataFrame, dict[str, str]]:
-    """Solutions of a group, computed variables included."""
+def solve(
+    triples: DataFrame, group: Group, msgs: DataFrame | None, scope: tuple[int, int] = (0, 0)
+) -> tuple[DataFrame, dict[str, str]]:
+    """Solutions of a group, computed variables and labels of fresh nodes included."""
     names = _names(group.variables)
     if group.patterns:
         out = _match(triples, group.patterns, names)
@@ -94,7 +96,10 @@ def solve(triples: DataFrame, group: Group, msgs: DataFrame | None) -> tuple[Dat
         value = B.bind_value(b, env)
         names = {**names, b.out: f"f{i}"}
         out = out.withColumn(f"f{i}", value)
-    return out, names
+    env = lambda v: F.col(names[v]) if v in names else None
+    labels = {f"n{i}": x for i, x in enumerate(B.fresh_names(group))}
+    made = {c: B.fresh_label(x, group, env, F.col("msg_id"), scope) for c, x in labels.items()}
+    return out.withColumns(made) if made else out, {**names, **{B.FRESH + x: c for c, x in labels.items()}}
 
 
 def _changes(solutions: DataFrame, names: dict[str, str], group: Group, scope: tuple[int, int]) -> DataFrame | None:
@@ -119,7 +124,7 @@ def _changes(solutions: DataFrame, names: dict[str, str], group: Group, scope: t
 
 def cell_changes(triples: DataFrame, cell: CellPlan, scope: tuple[int, int], msgs: DataFrame | None = None) -> DataFrame | None:
     """``msg_id, s, p, o, flag`` of everything the cell deletes or inserts."""
-    solved = [(g, *solve(triples, g, msgs)) for g in cell.groups]
+    solved = [(g, *solve(triples, g, msgs, scope)) for g in cell.groups]
     parts = []
     for i, (g, rows, names) in enumerate(solved):
         for j, (_, other, _) in enumerate(solved):

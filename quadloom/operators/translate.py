@@ -45,11 +45,14 @@ def translate_large(msgs: DataFrame, program: Program, cut=cut_lineage) -> DataF
 def translate(msgs: DataFrame, program: Program, limit: int = NESTED_LIMIT, cut=cut_lineage) -> DataFrame:
     """Translate nested messages, each in the form that suits its size.
 
-    The split is a row-local test; only messages above ``limit`` triples take part in a shuffle."""
+    The split is a row-local test; only messages above ``limit`` triples take part in a shuffle, and
+    without any such message the relational plan is left out."""
     if not program.active:
         return msgs
     small = F.size("triples") <= limit
     large = msgs.where(~small)
+    if large.select("msg_id").isEmpty():
+        return translate_small(msgs, program)
     return translate_small(msgs.where(small), program).unionByName(translate_large(large, program, cut))
 
 

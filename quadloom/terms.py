@@ -43,6 +43,11 @@ def literal(value: Column | str, dt: Column | str = V.STRING, lang: Column | str
     return make_term("lit", value, dt, lang)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``: keeps nested expressions linear in size."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def checked(value: Column, term: Column) -> Column:
     """``term`` where ``value`` is known, NULL (an unbound variable) elsewhere."""
     return F.when(value.isNotNull(), term)
@@ -83,13 +88,14 @@ def barrier(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def to_long(msgs: DataFrame) -> DataFrame:
-    """Nested messages to quads. ``inline_outer`` keeps the plan linear in the number of steps:
-    plain ``inline`` makes the optimizer copy every step into an inferred size filter."""
-    payload = msgs.select("msg_id", F.col("payload_g").alias("g"), F.inline_outer("triples")).where(
-        F.col("s").isNotNull()
+    """Nested messages to quads, in one pass over the rows. ``inline_outer`` keeps the plan linear in
+    the number of steps: plain ``inline`` makes the optimizer copy every step into a size filter."""
+    mine = F.transform(
+        "triples",
+        lambda t: F.struct(F.col("payload_g").alias("g"), t["s"].alias("s"), t["p"].alias("p"), t["o"].alias("o")),
     )
-    meta = msgs.select("msg_id", F.inline_outer("meta")).where(F.col("s").isNotNull())
-    return payload.unionByName(meta)
+    quads = F.concat(mine, F.col("meta"))
+    return msgs.select("msg_id", F.inline_outer(quads)).where(F.col("s").isNotNull())
 
 
 def empty_meta() -> Column:
