@@ -29,23 +29,12 @@ def outside_payload(quads: DataFrame) -> DataFrame:
     return other.unionByName(beside)
 
 
-def payload_graph_of(quads: DataFrame, msgs: DataFrame) -> DataFrame:
-    """``msg_id, g``: the graph a translated payload goes back to."""
-    named = _named(quads).withColumn("named", F.lit(True))
-    g = F.when(F.col("named"), V.PAYLOAD_GRAPH).otherwise(F.lit(V.DEFAULT_GRAPH))
-    return msgs.select("msg_id").join(named, "msg_id", "left").select("msg_id", g.alias("g"))
-
-
 def with_payload(quads: DataFrame, new: DataFrame) -> DataFrame:
     """Write translated triples ``msg_id, s, p, o`` back to the graph the payload came from."""
-    named = _named(quads)
-    to_named = new.join(named, "msg_id", "left_semi").withColumn("g", F.lit(V.PAYLOAD_GRAPH))
-    to_default = new.join(named, "msg_id", "left_anti").withColumn("g", F.lit(V.DEFAULT_GRAPH))
-    return (
-        outside_payload(quads)
-        .unionByName(to_named.select(*quads.columns))
-        .unionByName(to_default.select(*quads.columns))
-    )
+    named = _named(quads).withColumn("_named", F.lit(True))
+    g = F.when(F.col("_named"), V.PAYLOAD_GRAPH).otherwise(F.lit(V.DEFAULT_GRAPH))
+    back = new.join(named, "msg_id", "left").withColumn("g", g).select(*quads.columns)
+    return outside_payload(quads).unionByName(back)
 
 
 def split_nested(quads: Column) -> tuple[Column, Column, Column]:

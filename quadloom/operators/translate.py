@@ -34,7 +34,8 @@ def translate_large(msgs: DataFrame, program: Program, cut=cut_lineage) -> DataF
 
     The input is already one row per message, so gathering the result per message is as large as
     the rows it came from plus what the rules insert."""
-    triples = msgs.select("msg_id", F.inline_outer("triples")).where(F.col("s").isNotNull()).dropDuplicates()
+    # Written once: the steps read it several times, and it may come from parsed text.
+    triples = cut(msgs.select("msg_id", F.inline_outer("triples")).where(F.col("s").isNotNull()).dropDuplicates())
     done = relational.apply_program(triples, program, msgs.select("msg_id"), cut)
     graphs = done.groupBy("msg_id").agg(F.collect_list(F.struct("s", "p", "o")).alias("triples"))
     empty = F.array().cast(T.ArrayType(TRIPLE))
@@ -82,7 +83,7 @@ def translate_mixed(quads: DataFrame, program: Program, limit: int = NESTED_LIMI
     payload_rows = done.select("msg_id", F.col("payload_g").alias("g"), F.inline_outer("triples"))
     meta_rows = done.select("msg_id", F.inline_outer("meta"))
     out = payload_rows.unionByName(meta_rows).where(F.col("s").isNotNull())
-    return out.unionByName(translate_quads(large, program, cut=cut))
+    return out.unionByName(translate_quads(cut(large), program, cut=cut))
 
 
 def messages_from_triples(df: DataFrame, graph: str = V.DEFAULT_GRAPH) -> DataFrame:
