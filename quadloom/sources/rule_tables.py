@@ -63,7 +63,8 @@ def load_rulebook(tables: dict[str, DataFrame], keys: DataFrame | None = None) -
             for f in sorted(own["cell_function"], key=lambda f: f["ordinal"])
         )
         cells[(r["name"], r["version"])][r["cell_id"]] = Cell(
-            r["cell_id"], tuple(sides[1]), tuple(sides[2]),
+            # Tables have no row order; a fixed one keeps plans the same from run to run.
+            r["cell_id"], tuple(sorted(sides[1], key=repr)), tuple(sorted(sides[2], key=repr)),
             tuple((t["var"], t["datatype"]) for t in own["cell_typing"]),
             tuple((t["var"], t["datatype"]) for t in own["cell_filter"]), fns,
         )
