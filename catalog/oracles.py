@@ -360,7 +360,7 @@ add("registry_sink_conflicts", "SELECT uuid, sink FROM refused", SC, RQ)
 add("registry_add_channels", """SELECT id, sink, consumer_group, parallelism, uuid FROM sc
 UNION ALL SELECT CAST((SELECT max(id) FROM sc) + row_number() OVER (ORDER BY md5(uuid)) AS INT), sink,
   CASE WHEN kk THEN coalesce(cg, uuid) ELSE '' END, par, uuid FROM rq WHERE uuid NOT IN (SELECT uuid FROM refused)""", SC, RQ)
-add("registry_delete_channels", "SELECT id, sink FROM sc WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", SC)
+add("registry_delete_channels", "SELECT id, sink FROM sc WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')", SC)
 add("registry_alignment_info", f"""SELECT id, name, version, '{S}' AS source_onto, '{D}' AS target_onto, 'c' AS creator, 'd' AS description,
   '[' || name || '] [' || version || '] : {S} -> {D}' AS desc_id FROM sa""", SA)
 add("registry_channel_info", """SELECT id, source || ' ⇛ ⟪ {' || inp_name || '}:' || inp_version || ' ⇒ ' ||

@@ -360,9 +360,7 @@ def _(spark, sf):
 def _(spark, sf):
     msgs = event_msgs(spark, sf).join(C.raw_messages(spark, sf).select("msg_id", "topic"), "msg_id")
     done = routing.apply_channels(msgs, C.channels(spark, sf), BOOK)
-    sinks = done.select("msg_id", "sink")
-    quads = to_long(done).where(F.col("g") == V.PAYLOAD_GRAPH)
-    return flat(quads.join(sinks, "msg_id"), "sink")
+    return flat(to_long(done, "sink").where(F.col("g") == V.PAYLOAD_GRAPH), "sink")
 
 
 @query("channel_empty_payload")
@@ -471,15 +469,13 @@ def _(spark, sf):
     stream = topics.read_topic_files(spark, f"{work}/in")
     run_stream_once(stream, C.channels(spark, sf), BOOK, f"{work}/out", f"{work}/state")
     docs = spark.read.parquet(f"{work}/out")
-    quads = J.jsonld_to_quads(docs.select("msg_id", "raw")).where(F.col("g") == V.PAYLOAD_GRAPH)
-    return flat(quads.join(docs.select("msg_id", "sink"), "msg_id"), "sink")
+    return flat(J.jsonld_to_quads(docs, keep=("sink",)).where(F.col("g") == V.PAYLOAD_GRAPH), "sink")
 
 
 @query("batch_channels_from_text")
 def _(spark, sf):
     docs = translate_stream(C.raw_messages(spark, sf), C.channels(spark, sf), BOOK)
-    quads = J.jsonld_to_quads(docs.select("msg_id", "raw")).where(F.col("g") == V.PAYLOAD_GRAPH)
-    return flat(quads.join(docs.select("msg_id", "sink"), "msg_id"), "sink")
+    return flat(J.jsonld_to_quads(docs, keep=("sink",)).where(F.col("g") == V.PAYLOAD_GRAPH), "sink")
 
 
 # --- registry ---------------------------------------------------------------------------------
@@ -528,7 +524,7 @@ def _(spark, sf):
 
 @query("registry_delete_channels")
 def _(spark, sf):
-    gone = lift.read(spark, sf, "orders").select((F.col("o_custkey") + 1).cast("int").alias("id")).distinct()
+    gone = lift.read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") + 1).cast("int").alias("id")).distinct()
     return G.delete_channels(C.stored_channels(spark, sf), gone).select("id", "sink")
 
 

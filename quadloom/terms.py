@@ -87,15 +87,15 @@ def barrier(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*rest, F.inline_outer(F.array(F.struct(*columns)))).select(*df.columns)
 
 
-def to_long(msgs: DataFrame) -> DataFrame:
-    """Nested messages to quads, in one pass over the rows. ``inline_outer`` keeps the plan linear in
+def to_long(msgs: DataFrame, *keep: str) -> DataFrame:
+    """Nested messages to quads, with the columns ``keep`` repeated, in one pass over the rows. ``inline_outer`` keeps the plan linear in
     the number of steps: plain ``inline`` makes the optimizer copy every step into a size filter."""
     mine = F.transform(
         "triples",
         lambda t: F.struct(F.col("payload_g").alias("g"), t["s"].alias("s"), t["p"].alias("p"), t["o"].alias("o")),
     )
     quads = F.concat(mine, F.col("meta"))
-    return msgs.select("msg_id", F.inline_outer(quads)).where(F.col("s").isNotNull())
+    return msgs.select("msg_id", *keep, F.inline_outer(quads)).where(F.col("s").isNotNull())
 
 
 def empty_meta() -> Column:
