@@ -16,7 +16,6 @@ from quadloom.operators import jsonld as J, payload as P, quality as Q, registry
 from quadloom.operators import routing, translate as TR
 from quadloom.plans.lineage import cut_lineage, ensure_checkpoint_dir
 from quadloom.plans.rules import Program, Step, compile_cell, compile_program, pattern as t
-from quadloom.session import prepare
 from quadloom.sources import rule_documents as RD, rule_tables as RT, topics
 from quadloom.streaming.channels import run_stream_once, translate_stream
 from quadloom.terms import TERM_DDL, literal, to_long
@@ -27,11 +26,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str):
     def add(fn: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
-            return fn(spark, sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = fn
         return fn
 
     return add

@@ -13,15 +13,6 @@ SETTINGS = {
 }
 
 
-def prepare(spark: SparkSession) -> None:
-    """Apply what may be changed on a running session."""
-    name = "spark.python.sql.dataFrameDebugging.enabled"
-    try:
-        spark.conf.set(name, SETTINGS[name])
-    except Exception:  # noqa: BLE001 - a session that fixes the setting keeps its own value
-        pass
-
-
 def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
     """Session for tests and the bench."""
     builder = (
