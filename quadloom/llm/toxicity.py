@@ -52,6 +52,7 @@ SWAPPED, REPEATED, MASKED, APART = -1.0, -1.5, -2.5, -1.0
 
 _EDGE = ".,;:?\"'()[]{}<>…«»¿¡-_*#%&~`^/\\="
 _SIGNS = re.compile(r"[$@!|+]{2,}$|!$")
+_TWICE = re.compile(r"(.)\1")
 _SPACED = re.compile(r"\w(?:[^\w\s]\w){2,}", re.UNICODE)
 
 
@@ -158,6 +159,9 @@ class Decoder:
                 readings = [(x * k, cost + (0.0 if k == n else REPEATED)) for x, cost in readings for k in (1, 2)]
             if gaps and i < len(word):
                 readings += [(x + " ", cost + APART) for x, cost in readings]
+            if len(readings) == 1 and out and len(out[-1]) == 1:  # places with one reading are one place
+                readings = [(out[-1][0][0] + readings[0][0], out[-1][0][1] + readings[0][1])]
+                out.pop()
             out.append(readings)
         return out
 
@@ -165,7 +169,7 @@ class Decoder:
         """A token in lower case without its marks, restored."""
         w = unicodedata.normalize("NFC", token).lower().strip(_EDGE)
         w = _SIGNS.sub("", w).strip(_EDGE)
-        if w.isalpha() and not any(map(str.__eq__, w, w[1:])):
+        if w.isalpha() and not _TWICE.search(w):
             return w
         if len(w) > LONGEST_WORD or not any(c.isalpha() for c in w):
             return w
