@@ -29,7 +29,7 @@ from quadloom.llm.common import stored, utf8
 CAPACITY = 4096
 END_ID = 1
 #: Entries of a worker's table of encoded words, after which it starts anew, and the longest word kept.
-WORKER_ENTRIES = 500_000
+WORKER_ENTRIES = 800_000
 LONGEST_KEY = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -47,11 +47,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.control = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in done]
 
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text and parted after each token that ends a word."""
+        if not words:
+            return []
+        ids = np.frombuffer(self._encode([b" ".join(words)])[0], "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(words):  # a letter that its lower case takes apart
+            return self._encode(words)
+        raw, cuts = ids.tobytes(), [0, *ends.tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def of(self, text: bytes | None) -> bytes:
         if not text:
             return b""
@@ -69,7 +83,10 @@ class Encoder:
         found: dict[bytes, bytes] = {}
         if stems:
             rest += {w[:-1] for w in stems}.union((b".", b",")).difference(known, rest)
-        found.update(zip(rest, self._encode(rest), strict=True))
+        letters = [w for w in rest if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
+        others = list(set(rest).difference(letters))
+        found.update(zip(letters, self._encode_words(letters), strict=True))
+        found.update(zip(others, self._encode(others), strict=True))
         for w in stems:
             a, b = w[:-1], w[-1:]
             found[w] = (known[a] if a in known else found[a]) + (known[b] if b in known else found[b])
