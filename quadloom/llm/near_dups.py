@@ -11,12 +11,12 @@ collections that another node shares. A bucket is never turned into all its pair
 
 * every member is compared with the bucket's leader, the member that agrees most with others, so a
   group of copies hangs on its original after one comparison each;
-* then only buckets whose other members lie in different components go on: small ones (BLOCK members)
-  compare the pairs that no component joins yet, larger ones take LEADERS further leaders a round, each
-  compared with the members outside its component and then done.
+* then only buckets whose other members lie in different components go on. Small ones (BLOCK members)
+  verify the pairs that no component joins yet. In larger ones, dealt out in pairs of blocks of SIDE
+  members, the minhashes themselves are compared first, and only pairs that agree in AGREE of all 54 go
+  on to verification: at similarity 0.8 one in 500,000 agrees in fewer.
 
-It ends when no bucket is left, so no candidate is dropped; only comparisons that could join nothing new
-are left out.
+So no candidate is capped; comparisons that could join nothing new are left out.
 
 Defined cases: a text of fewer words than a shingle is one shingle of all its words; null texts and
 texts without words have no shingle and link with nothing; rows that share an id are one document;
@@ -35,7 +35,8 @@ from quadloom.llm.common import components, stored, utf8
 COLLECTIONS = 18
 PER_COLLECTION = 3
 BLOCK = 64
-LEADERS = 32
+SIDE = 1024
+AGREE = 28 / 54
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S = [np.uint64(x) for x in (30, 27, 31)]
@@ -64,11 +65,10 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
 
 
 class Hashes:
-    """The minhash collections of a set, each as one number."""
+    """Minhashes of a set, 32 bits each."""
 
     def __init__(self, collections: int, per: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.shape = (collections, per)
         self.a = rng.integers(0, 2**63, (collections * per, 1), np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, (collections * per, 1), np.uint64)
 
@@ -76,17 +76,14 @@ class Hashes:
         least = np.full(len(self.a), 2**64 - 1, np.uint64)
         for i in range(0, len(s), 4096):
             least = np.minimum(least, (s[i : i + 4096] * self.a + self.b).min(axis=1))
-        out = np.zeros(self.shape[0], np.uint64)
-        for column in least.reshape(self.shape).T:
-            out = _mixed(out + column)
-        return out.view(np.int64)
+        return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def signatures(width: int, collections: int, per: int):
     hashes = Hashes(collections, per)
-    kind = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("mins", pa.list_(pa.int64()))])
+    kind = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("mins", pa.list_(pa.int32()))])
 
-    @F.arrow_udf("n long, digest binary, mins array<long>")
+    @F.arrow_udf("n long, digest binary, mins array<int>")
     def of(texts: pa.Array) -> pa.Array:
         from xxhash import xxh3_128_digest
 
@@ -120,9 +117,9 @@ def find_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections:
     # one node for each set
     nodes = usable.groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("mins").alias("mins"), F.count("*").alias("copies"))
     nodes = stored(nodes, "nodes")
-    live = stored(shared_collections(nodes), "live")
+    live = stored(shared_collections(nodes, per), "live")
     members = stored(bucket_members(live), "members")
-    links = bucket_links(docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("text")), members, width, percent)
+    links = bucket_links(docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("text")), members, nodes.select("id", "mins"), width, percent)
     # rows of one id belong together, too
     same = usable.join(nodes.where("copies > 1").select("digest", F.col("id").alias("node")), "digest", "left").select("id", F.coalesce("node", "id").alias("node"))
     same = same.where("id <> node").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("c"))
@@ -135,9 +132,11 @@ def find_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def shared_collections(nodes: DataFrame) -> DataFrame:
+def shared_collections(nodes: DataFrame, per: int) -> DataFrame:
     """Nodes with the collections that other nodes share, and how many share them in all."""
-    each = nodes.select("id", "n", F.posexplode("mins").alias("i", "v"))
+    starts = F.sequence(F.lit(0), F.size("mins") - per, F.lit(per))
+    collected = F.transform(starts, lambda at: F.xxhash64(F.slice("mins", at + 1, F.lit(per))))
+    each = nodes.select("id", "n", F.posexplode(collected).alias("i", "v"))
     counts = stored(each.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     return each.join(counts, ["i", "v"]).groupBy("id", "n").agg(F.sum("c").alias("pop"), F.array_sort(F.collect_list(F.struct("i", "v"))).alias("vs")).where(F.size("vs") > 1)
 
@@ -151,7 +150,7 @@ def bucket_members(live: DataFrame) -> DataFrame:
     return rows.join(heads, "bucket")
 
 
-def bucket_links(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def bucket_links(texts: DataFrame, members: DataFrame, mins: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links that connect what the buckets can connect."""
     pairs = members.where(F.col("id") != F.col("leader")).where(alike(F.col("n"), F.col("leader_n"), percent))
     pairs = stored(ordered(pairs.select(F.col("leader").alias("x"), F.col("id").alias("y"))).distinct(), "pairs")
@@ -159,28 +158,42 @@ def bucket_links(texts: DataFrame, members: DataFrame, width: int, percent: int)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(rest.select("id")).distinct()
     wanted = stored(texts.join(ids, "id", "left_semi").select("id", sets(width)("text").alias("s")), "sets")
     links = stored(verified(pairs, wanted, percent), "verified")
-    tested = pairs
-    while True:
-        roots = components(links)
-        labelled = rest.join(stored(roots, "roots"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = labelled.groupBy("bucket").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).where("lo < hi")
-        open_ = stored(open_.select("bucket", "c"), "open")
-        if open_.isEmpty():
-            return links
-        rest = stored(labelled.join(open_, "bucket"), "rest")
-        small = rest.where(F.col("c") <= BLOCK).groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "root")).alias("xs"))
-        large = rest.where(F.col("c") > BLOCK)
-        salt = F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("salt")
-        heads = large.groupBy("bucket", salt).agg(F.max(F.struct("pop", "id", "n", "root")).alias("h"))
-        heads = stored(heads.select("bucket", F.col("h.id").alias("hid"), F.col("h.n").alias("hn"), F.col("h.root").alias("hroot")), "heads")
-        near = F.col("root") != F.col("hroot")
-        more = large.join(heads, "bucket").where(near & alike(F.col("n"), F.col("hn"), percent)).select(F.col("hid").alias("x"), F.col("id").alias("y"))
-        more = more.union(small.select(F.explode(block_pairs(percent)).alias("p")).select("p.x", "p.y"))
-        pairs = stored(ordered(more).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.union(verified(pairs, wanted, percent)), "verified")
-        tested = tested.union(pairs)
-        # small buckets and the leaders of large ones are done
-        rest = large.join(heads.select("bucket", F.col("hid").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n", "pop")
+    roots = stored(components(links), "roots")
+    rest = stored(rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rest")
+    open_ = rest.groupBy("bucket").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    rest = stored(rest.join(stored(open_.select("bucket", "c"), "open"), "bucket"), "rest")
+    small = rest.where(F.col("c") <= BLOCK).groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "root")).alias("xs"))
+    more = small.select(F.explode(block_pairs(percent)).alias("p")).select("p.x", "p.y")
+    more = more.union(agreeing(rest.where(F.col("c") > BLOCK).join(mins, "id"), percent))
+    more = stored(ordered(more).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return links.union(verified(more, wanted, percent))
+
+
+def agreeing(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the members of large buckets that agree in enough minhashes, by pairs of blocks."""
+    blocks = F.ceil(F.col("c") / SIDE).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "n", "root", "mins")
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, n, root, block = (t[c].to_numpy() for c in ("id", "n", "root", "block"))
+        mins = np.array(t["mins"].to_pylist(), np.int32)
+        apart = t["one"][0].as_py() != t["two"][0].as_py()
+        need = AGREE * mins.shape[1]
+        xs, ys = [], []
+        for i in range(len(ids) - 1):
+            at = np.arange(i + 1, len(ids))
+            ok = (root[at] != root[i]) & (np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * percent)
+            if apart:
+                ok &= block[at] != block[i]
+            at = at[ok]
+            at = at[(mins[at] == mins[i]).sum(axis=1) >= need]
+            xs.append(np.full(len(at), ids[i]))
+            ys.append(ids[at])
+        x, y = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (xs, ys))
+        return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+
+    return rows.groupBy("bucket", "one", "two").applyInArrow(compare, "x long, y long")
 
 
 def block_pairs(percent: int) -> Column:
