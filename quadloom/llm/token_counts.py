@@ -91,7 +91,7 @@ def frequent_table(docs: DataFrame, path: str, text: str = "text") -> tuple[byte
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    counts.update(k for k in pre_tokens(t) if 0 < len(k) <= LONGEST_KEY)
+                    counts.update(k for k in pre_tokens(t) if 0 < len(k) <= LONGEST_KEY and b" " not in k)
         top = counts.most_common(FREQUENT)
         yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in top], pa.binary()), "n": pa.array([c for _, c in top], pa.int64())})
 
