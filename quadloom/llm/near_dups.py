@@ -12,9 +12,10 @@ collections that another node shares. A bucket is never turned into all its pair
 * every member is compared with the bucket's leader, the member that agrees most with others, so a
   group of copies hangs on its original after one comparison each;
 * then only buckets whose other members lie in different components go on. Small ones (BLOCK members)
-  verify the pairs that no component joins yet. In larger ones, dealt out in pairs of blocks of SIDE
-  members, the minhashes themselves are compared first, and only pairs that agree in AGREE of all 54 go
-  on to verification: at similarity 0.8 one in 500,000 agrees in fewer.
+  verify the pairs that no component joins yet. Larger ones are united where they share members, which
+  gives families of texts made from one another; the sets of a family are dealt out in pairs of blocks of
+  BLOCK_SHINGLES, and a block finds the similar sets of different components through an index of its
+  shingles, on full sets, starting from those outside its largest component.
 
 So no candidate is capped; comparisons that could join nothing new are left out.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,7 @@ from quadloom.llm.common import components, stored, utf8
 COLLECTIONS = 18
 PER_COLLECTION = 3
 BLOCK = 64
-SIDE = 1024
-AGREE = 28 / 54
+BLOCK_SHINGLES = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S = [np.uint64(x) for x in (30, 27, 31)]
@@ -119,7 +120,7 @@ def find_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections:
     nodes = stored(nodes, "nodes")
     live = stored(shared_collections(nodes, per), "live")
     members = stored(bucket_members(live), "members")
-    links = bucket_links(docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("text")), members, nodes.select("id", "mins"), width, percent)
+    links = bucket_links(docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("text")), members, width, percent)
     # rows of one id belong together, too
     same = usable.join(nodes.where("copies > 1").select("digest", F.col("id").alias("node")), "digest", "left").select("id", F.coalesce("node", "id").alias("node"))
     same = same.where("id <> node").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("c"))
@@ -150,7 +151,7 @@ def bucket_members(live: DataFrame) -> DataFrame:
     return rows.join(heads, "bucket")
 
 
-def bucket_links(texts: DataFrame, members: DataFrame, mins: DataFrame, width: int, percent: int) -> DataFrame:
+def bucket_links(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links that connect what the buckets can connect."""
     pairs = members.where(F.col("id") != F.col("leader")).where(alike(F.col("n"), F.col("leader_n"), percent))
     pairs = stored(ordered(pairs.select(F.col("leader").alias("x"), F.col("id").alias("y"))).distinct(), "pairs")
@@ -164,36 +165,45 @@ def bucket_links(texts: DataFrame, members: DataFrame, mins: DataFrame, width: i
     rest = stored(rest.join(stored(open_.select("bucket", "c"), "open"), "bucket"), "rest")
     small = rest.where(F.col("c") <= BLOCK).groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "root")).alias("xs"))
     more = small.select(F.explode(block_pairs(percent)).alias("p")).select("p.x", "p.y")
-    more = more.union(agreeing(rest.where(F.col("c") > BLOCK).join(mins, "id"), percent))
     more = stored(ordered(more).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    return links.union(verified(more, wanted, percent))
+    links = links.union(verified(more, wanted, percent))
+    large = rest.where(F.col("c") > BLOCK)
+    return links if large.isEmpty() else links.union(family_links(large, wanted, percent))
 
 
-def agreeing(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the members of large buckets that agree in enough minhashes, by pairs of blocks."""
-    blocks = F.ceil(F.col("c") / SIDE).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "n", "root", "mins")
+def family_links(large: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members of large buckets."""
+    heads = stored(large.groupBy("bucket").agg(F.min("id").alias("head")), "heads")
+    families = components(large.join(heads, "bucket").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+    rows = stored(large.select("id", "n", "root").distinct().join(families.withColumnRenamed("root", "family"), "id"), "families")
+    blocks = rows.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(wanted, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "root", "s")
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, n, root, block = (t[c].to_numpy() for c in ("id", "n", "root", "block"))
-        mins = np.array(t["mins"].to_pylist(), np.int32)
-        apart = t["one"][0].as_py() != t["two"][0].as_py()
-        need = AGREE * mins.shape[1]
-        xs, ys = [], []
-        for i in range(len(ids) - 1):
-            at = np.arange(i + 1, len(ids))
-            ok = (root[at] != root[i]) & (np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * percent)
+        ids, root, block = (t[c].to_numpy() for c in ("id", "root", "block"))
+        sets = t["s"].combine_chunks()
+        values, ends = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(sets).to_numpy())])
+        n = np.diff(ends)
+        _, shingle = np.unique(values, return_inverse=True)
+        owner = np.repeat(np.arange(len(n)), n)[np.argsort(shingle, kind="stable")]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+        names, counts = np.unique(root, return_counts=True)
+        main, apart = names[counts.argmax()], t["one"][0].as_py() != t["two"][0].as_py()
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for i in np.flatnonzero(root != main):
+            own = shingle[ends[i] : ends[i + 1]]
+            both = np.bincount(np.concatenate([owner[starts[u] : starts[u + 1]] for u in own]), minlength=len(n))
+            ok = (both * 100 >= (n + n[i] - both) * percent) & (root != root[i])
             if apart:
-                ok &= block[at] != block[i]
-            at = at[ok]
-            at = at[(mins[at] == mins[i]).sum(axis=1) >= need]
-            xs.append(np.full(len(at), ids[i]))
-            ys.append(ids[at])
-        x, y = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (xs, ys))
-        return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
-
-    return rows.groupBy("bucket", "one", "two").applyInArrow(compare, "x long, y long")
+                ok &= block != block[i]
+            for j in np.flatnonzero(ok):  # one link for each pair of components
+                found.setdefault((min(root[i], root[j]), max(root[i], root[j])), (min(ids[i], ids[j]), max(ids[i], ids[j])))
+        x, y = zip(*found.values(), strict=True) if found else ((), ())
+        return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    return rows.groupBy("family", "one", "two").applyInArrow(compare, "a long, b long")
 
 
 def block_pairs(percent: int) -> Column:

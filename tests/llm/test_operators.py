@@ -177,7 +177,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     want = {r["doc_id"]: r["component_id"] for r in near_dups.find_groups(table, width=1).collect()}
     monkeypatch.setattr(near_dups, "BLOCK", 1)
-    monkeypatch.setattr(near_dups, "SIDE", 8)
+    monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", 500)
     assert {r["doc_id"]: r["component_id"] for r in near_dups.find_groups(table, width=1).collect()} == want
 
 
