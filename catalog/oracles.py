@@ -213,7 +213,7 @@ add("functions_string", values(
     before=s_("CASE WHEN strpos(text, ' ') = 0 THEN '' ELSE substring(text, 1, strpos(text, ' ') - 1) END"),
     after=s_("CASE WHEN strpos(text, '. ') = 0 THEN '' ELSE substring(text, strpos(text, '. ') + 2) END"),
     replace=s_("regexp_replace(text, '[aeiou]+', '_', 'g')"), regex=b_("regexp_matches(text, '(?i)(th|he) ')"),
-    uri=s_("url_encode(substring(text, 1, 40))")))
+    uri=s_("url_encode(text)")))
 _q, _p, _n = "CAST(l_quantity AS DECIMAL(18,2))", "CAST(l_extendedprice AS DECIMAL(18,2))", "l_linenumber"
 add("functions_arithmetic", values(
     "li", "l", distinct=True,
@@ -318,6 +318,7 @@ _nodes = (
 )
 add("jsonld_write_payload", f"""SELECT m AS msg_id, '{{"@graph":[' || {_nodes} || ']}}' AS doc FROM ev""", EV)
 add("jsonld_write_quads", f"""SELECT m AS msg_id, '{{"@graph":[{{"@graph":[' || {_nodes} || '],"@id":"{PAYLOAD}"}}]}}' AS raw FROM ev""", EV)
+add("stream_rejected_messages", "SELECT CAST(doc_id AS VARCHAR) AS msg_id, 'not json' AS bad, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents")
 add("message_size_limit", "SELECT CAST(doc_id AS VARCHAR) AS msg_id, strlen(text) <= 1024 AS fits FROM documents")
 add("bad_messages", "SELECT 'd' || doc_id AS msg_id, 'not json' AS bad FROM documents")
 

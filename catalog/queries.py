@@ -204,7 +204,7 @@ def _(spark, sf):
         starts=f("STRSTARTS", [x, _c("The")]), ends=f("STRENDS", [x, _c(".")]), contains=f("CONTAINS", [x, _c("the")]),
         before=f("STRBEFORE", [x, _c(" ")]), after=f("STRAFTER", [x, _c(". ")]),
         replace=f("REPLACE", [x, _c("[aeiou]+"), _c("_")]), regex=f("REGEX", [x, _c("(th|he) "), _c("i")]),
-        uri=f("ENCODE_FOR_URI", [literal(F.substring("text", 1, 40))]),
+        uri=f("ENCODE_FOR_URI", [literal(F.col("text"))]),
     )
 
 
@@ -339,9 +339,8 @@ def _(spark, sf):
 @query("alignment_malformed_cell")
 def _(spark, sf):
     program = compile_program([BROKEN])
-    warnings = spark.createDataFrame(program.warnings, "name string, version string, cell_id string, error string")
     done = flat(TR.translate_small(event_msgs(spark, sf), program).transform(nested_payload))
-    return done.crossJoin(F.broadcast(warnings.select("cell_id")))
+    return done.withColumn("cell_id", F.lit(",".join(w[2] for w in program.warnings)))
 
 
 @query("alignment_from_rule_tables")
@@ -467,6 +466,19 @@ def _(spark, sf):
     return flat(J.jsonld_to_quads(docs, keep=("sink",)).where(F.col("g") == V.PAYLOAD_GRAPH), "sink")
 
 
+@query("stream_rejected_messages")
+def _(spark, sf):
+    """Documents that are no messages, kept with a reason by a drained stream."""
+    work = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    raw = C.raw_messages(spark, sf).withColumn("ingest_ts", F.col("ingest_ts").cast("timestamp"))
+    docs = lift.read(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("msg_id"), F.lit("click").alias("topic"), F.lit(0).alias("src_partition"),
+        F.col("doc_id").alias("src_offset"), F.lit(None).cast("timestamp").alias("ingest_ts"), F.col("text").alias("raw"))
+    raw.select(*docs.columns).union(docs).write.parquet(f"{work}/in")
+    run_stream_once(topics.read_topic_files(spark, f"{work}/in"), C.channels(spark, sf), BOOK, f"{work}/out", f"{work}/state")
+    return spark.read.parquet(f"{work}/out-rejected").select("msg_id", "bad", F.octet_length("raw").cast("long").alias("n_bytes"))
+
+
 @query("batch_channels_from_text")
 def _(spark, sf):
     docs = translate_stream(C.raw_messages(spark, sf), C.channels(spark, sf), BOOK)
@@ -497,8 +509,7 @@ def _(spark, sf):
     stored = C.stored_alignments(spark, sf)
     keys = stored.select("name", "version").unionByName(lift.read(spark, sf, "customer").select(F.col("c_name").alias("name"), F.lit("v1").alias("version")))
     table, verdicts = G.delete_alignments(stored, keys, C.stored_channels(spark, sf))
-    left = table.groupBy().agg(F.count("*").alias("n_left"))
-    return verdicts.crossJoin(F.broadcast(left))
+    return verdicts.withColumn("n_left", F.lit(table.count()))
 
 
 @query("registry_channel_counts")

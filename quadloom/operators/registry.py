@@ -170,7 +170,8 @@ class Registry:
     def write(self, table: str, df: DataFrame) -> None:
         found = self._snapshots(table)
         number = found[-1] + 1 if found else 0
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot-{number:06d}")
+        # of two writers with the same number the second fails, and may read and write anew
+        df.write.mode("errorifexists").parquet(f"{self.root}/{table}/snapshot-{number:06d}")
 
     def add_alignments(self, new: DataFrame) -> DataFrame:
         table, verdicts = add_alignments(self.read("alignment"), new)

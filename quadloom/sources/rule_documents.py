@@ -129,6 +129,8 @@ def _functions(parent: ET.Element | None) -> list[dict]:
             order, about, val = _attr(prm, "order"), _attr(prm, "about"), _attr(prm, "val")
             if order is None or (about is None and val is None):
                 continue
+            if not order.strip().isdecimal():
+                raise EntityError(f"the order of a parameter is no number: {order}")
             params.append({
                 "pos": int(order), "var": about, "val": None if about is not None else val,
                 "datatype": None if about is not None else _attr(prm, "datatype"),
@@ -157,12 +159,19 @@ def _cell(el: ET.Element, ordinal: int, turtle: bool) -> dict:
             patterns += reader.out
         except EntityError as exc:
             error = str(exc)
+    functions = []
+    try:
+        functions = _functions(_kid(el, "transformation"))
+    except EntityError as exc:
+        error = str(exc)
+    if error:  # half a rule would delete or insert what the whole one does not
+        patterns = []
     relation = _kid(el, "relation")
     return {
         "cell_id": _attr(el, "about") or _attr(el, "id") or "", "ordinal": ordinal,
         "relation": (relation.text or "").strip() if relation is not None else None,
         "error": error, "patterns": patterns, "typings": _pairs(_kid(el, "typings"), "typing"),
-        "filters": _pairs(_kid(el, "filters"), "filter"), "functions": _functions(_kid(el, "transformation")),
+        "filters": _pairs(_kid(el, "filters"), "filter"), "functions": functions,
     }
 
 
@@ -229,10 +238,21 @@ def rule_tables(records: DataFrame, created: str | None = None) -> dict[str, Dat
     }
 
 
-def load_alignments(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Rule tables of a folder of documents, one document per file."""
+def unread_documents(records: DataFrame) -> DataFrame:
+    """Documents that gave no rule set, and cells that cannot run, with the reason."""
+    cells = records.where("error is null").select("name", "version", F.inline("cells")).where("error is not null")
+    whole = records.where("error is not null").select("name", "version", F.lit(None).cast("string").alias("cell_id"), "error")
+    return whole.unionByName(cells.select("name", "version", "cell_id", "error"))
+
+
+def load_alignments(spark: SparkSession, path: str, strict: bool = False) -> dict[str, DataFrame]:
+    """Rule tables of a folder of documents, one document per file. ``strict`` raises if a document or
+    a cell cannot be read; else :func:`unread_documents` tells which."""
     files = spark.read.text(path, wholetext=True).withColumnRenamed("value", "source_text")
-    return rule_tables(parse_documents(files))
+    records = parse_documents(files)
+    if strict and (found := unread_documents(records).limit(10).collect()):
+        raise ValueError("; ".join(f"{r['name']} {r['cell_id'] or ''}: {r['error']}" for r in found))
+    return rule_tables(records)
 
 
 def convert_layout(

@@ -66,7 +66,7 @@ def load_rulebook(tables: dict[str, DataFrame], keys: DataFrame | None = None) -
             # Tables have no row order; a fixed one keeps plans the same from run to run.
             r["cell_id"], tuple(sorted(sides[1], key=repr)), tuple(sorted(sides[2], key=repr)),
             tuple((t["var"], t["datatype"]) for t in own["cell_typing"]),
-            tuple((t["var"], t["datatype"]) for t in own["cell_filter"]), fns,
+            tuple((t["var"], t["datatype"]) for t in own["cell_filter"]), fns, r["error"],
         )
     steps = defaultdict(list)
     for r in rows("alignment_step"):
@@ -101,7 +101,7 @@ def tables_from_cells(spark: SparkSession, alignments: list[Alignment]) -> dict[
         rows["alignment"].append((*k, "", "", "", "", None, ""))
         rows["alignment_step"] += [(*k, i, i, c) for i, c in enumerate(a.steps)]
         for n, (cid, c) in enumerate(a.cells.items()):
-            rows["cell"].append((*k, cid, n, "=", None))
+            rows["cell"].append((*k, cid, n, "=", c.error))
             for side, pats in ((1, c.entity1), (2, c.entity2)):
                 rows["cell_pattern"] += [(*k, cid, side, slot(q.s), q.p.term.value, slot(q.o)) for q in pats]
             rows["cell_typing"] += [(*k, cid, *t) for t in c.typings]
@@ -112,6 +112,3 @@ def tables_from_cells(spark: SparkSession, alignments: list[Alignment]) -> dict[
             ]
     return {n: spark.createDataFrame(rows[n], ddl) for n, ddl in TABLES.items()}
 
-
-def key_columns(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c) for c in KEY])
