@@ -173,9 +173,12 @@ def bucket_links(texts: DataFrame, members: DataFrame, width: int, percent: int)
 
 def family_links(large: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     """Links between components among the members of large buckets."""
-    heads = stored(large.groupBy("bucket").agg(F.min("id").alias("head")), "heads")
-    families = components(large.join(heads, "bucket").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
-    rows = stored(large.select("id", "n", "root").distinct().join(families.withColumnRenamed("root", "family"), "id"), "families")
+    # what a component has in a bucket is one row: its members need no further uniting
+    parts = stored(large.select("bucket", "root").distinct(), "parts")
+    heads = stored(parts.groupBy("bucket").agg(F.min("root").alias("head")), "heads")
+    families = components(parts.join(heads, "bucket").where("root <> head").select(F.col("root").alias("a"), F.col("head").alias("b")).distinct())
+    families = families.select(F.col("root").alias("family"), F.col("id").alias("root"))
+    rows = stored(large.select("id", "n", "root").distinct().join(families, "root"), "families")
     blocks = rows.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     rows = rows.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.join(wanted, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
