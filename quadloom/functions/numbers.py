@@ -16,9 +16,10 @@ from quadloom.terms import checked, let, literal
 
 INT, DEC, FLT, DBL = 1, 2, 3, 4
 INT_T = "decimal(38,0)"
-# Products of two such operands are decimal(37,12): exact.
+# Operands of a division, and its results.
 DEC_T = "decimal(18,6)"
 WIDE_T = "decimal(38,12)"
+DECIMAL_FORM = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"
 
 
 def rank(t: Column) -> Column:
@@ -36,8 +37,54 @@ def as_int(t: Column) -> Column:
     return F.when(t["value"].rlike(r"^\s*[+-]?\d+\s*$"), F.trim(t["value"]).try_cast(INT_T))
 
 
-def as_dec(t: Column, dtype: str = DEC_T) -> Column:
-    return F.when(t["value"].rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"), F.trim(t["value"]).try_cast(dtype))
+def as_dec(t: Column) -> Column:
+    """Decimal of at most 12 whole and 6 fraction digits; NULL beyond, never rounded."""
+    fits = t["value"].rlike(DECIMAL_FORM) & ~t["value"].rlike(r"\.\d{6}\d*[1-9]")
+    return F.when(fits, F.trim(t["value"]).try_cast(DEC_T))
+
+
+def exact(t: Column) -> Column:
+    """A decimal literal as a whole number ``n`` and the count ``scale`` of its fraction digits: all
+    digits are kept. ``n`` is NULL when there are more than 38."""
+
+    def digits(v: Column) -> Column:
+        sign, whole = F.regexp_extract(v, "^[+-]?", 0), F.ltrim(F.substring_index(v, ".", 1), F.lit("+-"))
+        frac = F.when(v.contains("."), F.rtrim(F.substring_index(v, ".", -1), F.lit("0"))).otherwise(F.lit(""))
+        return let(frac, lambda f: F.struct(F.concat(sign, F.lit("0"), whole, f).try_cast(INT_T).alias("n"), F.length(f).alias("scale")))
+
+    return let(F.when(t["value"].rlike(DECIMAL_FORM), F.regexp_replace(t["value"], r"\s", "")), digits)
+
+
+def exact_text(d: Column) -> Column:
+    """Canonical text of such a number; NULL when ``n`` is."""
+
+    def text(x: Column) -> Column:
+        plain = F.abs(x["n"]).cast("string")
+        padded = F.concat(F.repeat(F.lit("0"), F.greatest(x["scale"] + 1 - F.length(plain), F.lit(0))), plain)
+        sign = F.when(x["n"] < 0, F.lit("-")).otherwise(F.lit(""))
+        return let(padded, lambda q: F.concat(
+            sign, F.substring(q, F.lit(1), F.length(q) - x["scale"]), F.lit("."),
+            F.regexp_replace(F.rtrim(F.substring(q, F.length(q) - x["scale"] + 1, x["scale"]), F.lit("0")), "^$", "0"),
+        ))
+
+    return let(d, text)
+
+
+def _exactly(op: str):
+    """Sum, difference or product of two exact numbers; past 38 digits ``n`` is NULL."""
+
+    def raised(a: Column, scale: Column) -> Column:
+        power = F.concat(F.lit("1"), F.repeat(F.lit("0"), scale - a["scale"])).try_cast(INT_T)
+        return F.try_multiply(a["n"], power).try_cast(INT_T)
+
+    def of(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        if op == "*":
+            return F.struct(F.try_multiply(a["n"], b["n"]).try_cast(INT_T).alias("n"), (a["scale"] + b["scale"]).alias("scale"))
+        scale = F.greatest(a["scale"], b["scale"])
+        return F.struct(_TRY[op](raised(a, scale), raised(b, scale)).try_cast(INT_T).alias("n"), scale.alias("scale"))
+
+    return lambda a, b: let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def as_dbl(t: Column) -> Column:
@@ -80,13 +127,13 @@ def _literal(value: Column, dt: str) -> Column:
 
 
 def number(family: Column, i: Column, d: Column, x: Column) -> Column:
-    """Literal of a numeric family. Only the branch of the family is evaluated. A decimal outside
-    the exact range falls back to the double result."""
+    """Literal of a numeric family; ``d`` is the text of a decimal. Only the branch of the family is
+    evaluated. A decimal outside the exact range falls back to the double result."""
 
     def pick(r: Column) -> Column:
         return (
             F.when(r == INT, _literal(int_text(i), V.INTEGER))
-            .when(r == DEC, _literal(dec_text(F.coalesce(d.try_cast(WIDE_T), x.try_cast(WIDE_T))), V.DECIMAL))
+            .when(r == DEC, _literal(F.coalesce(d, dec_text(x.try_cast(WIDE_T))), V.DECIMAL))
             .when(r == FLT, _literal(dbl_text(x), V.FLOAT))
             .when(r == DBL, _literal(dbl_text(x), V.DOUBLE))
         )
@@ -110,18 +157,22 @@ def infix(op: str):
         ints = F.lit(None).cast(INT_T)
         if op != "/":
             ints = reduce(_TRY[op], [as_int(a) for a in args]).try_cast(INT_T)
-        dec = reduce(lambda a, b: _TRY[op](a, b).try_cast(WIDE_T), [as_dec(a) for a in args])
         doubles = [as_dbl(a) for a in args]
         if op == "/":
             # Division by zero: an error for exact numbers, infinity or NaN for floating point.
             zero = reduce(lambda a, b: a | b, [F.coalesce(as_dbl(a) == 0, F.lit(False)) for a in args[1:]])
-            exact = F.coalesce(dec, F.when(~zero, reduce(_ieee_divide, doubles).try_cast(WIDE_T)))
-            return number(family, ints, exact, F.when((family > DEC), reduce(_ieee_divide, doubles)))
-        return number(family, ints, dec, reduce(_IEEE[op], doubles))
+            dec = reduce(_divided, [as_dec(a) for a in args])
+            quotient = F.coalesce(dec, F.when(~zero, reduce(_ieee_divide, doubles).try_cast(WIDE_T)))
+            return number(family, ints, dec_text(quotient), F.when((family > DEC), reduce(_ieee_divide, doubles)))
+        return number(family, ints, exact_text(reduce(_exactly(op), [exact(a) for a in args])), reduce(_IEEE[op], doubles))
 
     return build
 
 
+def _divided(a: Column, b: Column) -> Column:
+    return F.try_divide(a, b).try_cast(WIDE_T)
+
+
 def _ieee_divide(a: Column, b: Column) -> Column:
     return (
         F.when(b != 0, a / F.nullif(b, F.lit(0.0)))
@@ -132,21 +183,42 @@ def _ieee_divide(a: Column, b: Column) -> Column:
 
 
 def rounding(on_int, on_dec, on_dbl):
-    """Unary function that keeps the family of its argument."""
+    """Unary function that keeps the family of its argument; ``on_dec`` takes and gives text."""
 
     def build(t: Column) -> Column:
         r = rank(t)
-        return number(r, on_int(as_int(t)), on_dec(as_dec(t, WIDE_T)), on_dbl(as_dbl(t)))
+        return number(r, on_int(as_int(t)), let(exact_text(exact(t)), on_dec), on_dbl(as_dbl(t)))
 
     return build
 
 
+def whole_part(text: Column) -> Column:
+    """Whole number of a canonical decimal, cut towards zero."""
+    return F.substring_index(text, ".", 1).try_cast(INT_T)
+
+
+def to_whole(kind: str):
+    """``floor``, ``ceil`` or ``round`` (halves upwards) of a canonical decimal, as text."""
+
+    def of(text: Column) -> Column:
+        frac, below = F.substring_index(text, ".", -1), text.startswith("-")
+        step = {
+            "floor": F.when(below & (frac != "0"), -1),
+            "ceil": F.when(~below & (frac != "0"), 1),
+            # fractions without trailing zeros compare as text
+            "round": F.when(below & (frac > "5"), -1).when(~below & (frac >= "5"), 1),
+        }[kind]
+        return F.concat(F.try_add(whole_part(text), F.coalesce(step, F.lit(0))).try_cast(INT_T).cast("string"), F.lit(".0"))
+
+    return of
+
+
 def parses(t: Column) -> Column:
     """Is the literal a well-formed number of its own datatype?"""
     r = rank(t)
     return F.coalesce(
         F.when(r == INT, as_int(t).isNotNull())
-        .when(r == DEC, t["value"].rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"))
+        .when(r == DEC, t["value"].rlike(DECIMAL_FORM))
         .when(r.isNotNull(), as_dbl(t).isNotNull()),
         F.lit(False),
     )

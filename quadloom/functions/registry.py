@@ -10,6 +10,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, functions as F
 
 from quadloom import vocab as V
@@ -48,6 +50,28 @@ def check(name: str, n_args: int) -> None:
         raise ValueError(f"{name} does not take {n_args} arguments")
 
 
+def pattern_argument(name: str) -> int | None:
+    """Which argument of a function is a regular expression."""
+    return 1 if _key(name) in ("REGEX", "REPLACE") else None
+
+
+def check_pattern(pattern: str) -> None:
+    """A constant pattern is tried once, on the driver; without a session it is not tried."""
+    sc = SparkContext._active_spark_context
+    if sc is None:
+        return
+    try:
+        sc._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as exc:
+        raise ValueError(f"malformed regular expression: {pattern}") from exc
+
+
+def safe_pattern(t: Column) -> Column:
+    """A pattern that comes from data; NULL when it is malformed."""
+    valid = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), t["value"])
+    return F.when(t["value"].isNotNull() & valid.isNotNull(), t)
+
+
 def call(name: str, args: list[Column]) -> Column:
     check(name, len(args))
     return _FUNCTIONS[_key(name)].build(*args)
@@ -217,8 +241,8 @@ def _part(index: int, dtype: str = "int"):
 
 
 def _seconds(t: Column) -> Column:
-    value = _part(6, "decimal(18,6)")(t)
-    s = F.regexp_replace(F.regexp_replace(value.cast("string"), "0+$", ""), r"\.$", "")
+    value = F.regexp_replace(_part(6, "string")(t), r"^0(?=\d)", "")
+    s = F.regexp_replace(F.regexp_replace(value, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return checked(value, literal(s, V.DECIMAL))
 
 
@@ -285,12 +309,11 @@ def _lang_matches(tag: Column, rng: Column) -> Column:
 
 
 def _cast_integer(t: Column) -> Column:
-    wide = N.as_dec(t, "decimal(38,12)")
     dbl = N.as_dbl(t)
     value = (
         F.when(_bool(t).isNotNull(), _bool(t).cast("int").cast(N.INT_T))
         .when(is_string(t) | (N.rank(t) == N.INT), N.as_int(t))
-        .when(N.rank(t) == N.DEC, F.when(wide >= 0, F.floor(wide)).otherwise(F.ceil(wide)).try_cast(N.INT_T))
+        .when(N.rank(t) == N.DEC, N.whole_part(N.exact_text(N.exact(t))))
         .when(N.rank(t).isNotNull(), F.when(dbl >= 0, F.floor(dbl)).otherwise(F.ceil(dbl)).try_cast(N.INT_T))
     )
     return integer(value)
@@ -309,10 +332,8 @@ def _castable(t: Column) -> Column:
 
 
 def _cast_decimal(t: Column) -> Column:
-    value = F.when(_bool(t).isNotNull(), _bool(t).cast("int").cast(N.WIDE_T)).when(
-        _castable(t), F.coalesce(N.as_dec(t, N.WIDE_T), F.when(~is_string(t), N.as_dbl(t).try_cast(N.WIDE_T)))
-    )
-    text = N.dec_text(value)
+    number = F.coalesce(N.exact_text(N.exact(t)), F.when(~is_string(t), N.dec_text(N.as_dbl(t).try_cast(N.WIDE_T))))
+    text = F.when(_bool(t).isNotNull(), F.concat(_bool(t).cast("int").cast("string"), F.lit(".0"))).when(_castable(t), number)
     return checked(text, literal(text, V.DECIMAL))
 
 
@@ -346,10 +367,6 @@ def _whole(fn):
     return lambda x: F.when(F.abs(x) < float(2**52), fn(x).cast("double")).otherwise(x)
 
 
-def _round_dec(d: Column) -> Column:
-    return F.floor(d + F.lit("0.5").cast("decimal(2,1)"))
-
-
 def _install() -> None:
     reg = register_function
     for op in ("+", "-", "*", "/"):
@@ -377,10 +394,10 @@ def _install() -> None:
     reg("REGEX", _regex, (2, 3))
     reg("ENCODE_FOR_URI", _encode_for_uri, 1)
 
-    reg("ABS", N.rounding(F.abs, F.abs, F.abs), 1)
-    reg("CEIL", N.rounding(lambda i: i, F.ceil, _whole(F.ceil)), 1)
-    reg("FLOOR", N.rounding(lambda i: i, F.floor, _whole(F.floor)), 1)
-    reg("ROUND", N.rounding(lambda i: i, _round_dec, _whole(lambda x: F.floor(x + 0.5))), 1)
+    reg("ABS", N.rounding(F.abs, lambda d: F.ltrim(d, F.lit("-")), F.abs), 1)
+    reg("CEIL", N.rounding(lambda i: i, N.to_whole("ceil"), _whole(F.ceil)), 1)
+    reg("FLOOR", N.rounding(lambda i: i, N.to_whole("floor"), _whole(F.floor)), 1)
+    reg("ROUND", N.rounding(lambda i: i, N.to_whole("round"), _whole(lambda x: F.floor(x + 0.5))), 1)
     reg("RAND", lambda: literal(N.dbl_text(F.rand()), V.DOUBLE), 0)
 
     reg("NOW", _now, 0)

@@ -32,6 +32,9 @@ def bind_value(bind: Bind, env: Env) -> Column:
     if bind.function is None:
         lexical = registry.str_of(args[0])
         return checked(lexical, literal(lexical, bind.datatype))
+    at = registry.pattern_argument(bind.function)
+    if at is not None and at < len(args) and bind.args[at].var:
+        args[at] = registry.safe_pattern(args[at])
     return registry.call(bind.function, args)
 
 

@@ -13,6 +13,13 @@ CASES = [
     ("+", [1, 2], 3), ("/", [1, 3], ("0.333333333333", D)), ("/", [1, 0], None), ("*", [("1.5", D), 2], ("3.0", D)),
     ("+", [("1", DBL), 1], ("2.0e0", DBL)), ("/", [("1", DBL), 0], ("INF", DBL)), ("-", [("1.5", D), ("1.5", D)], ("0.0", D)),
     ("+", [("1.5", I), 1], None), ("*", [("900000000000000", D), 2], ("1800000000000000.0", D)), ("+", [("1", V.XSD + "byte"), 1], 2),
+    ("*", [("0.0000001", D), 1000000], ("0.1", D)), ("+", [("0.12345678", D), 0], ("0.12345678", D)),
+    ("+", [("99999999999999999999.5", D), 1], ("100000000000000000000.5", D)), ("-", [(".0", D), ("0.00000000000000000001", D)], ("-0.00000000000000000001", D)),
+    ("*", [("1.0000001", D), ("1.0000001", D), ("-2", D)], ("-2.00000040000002", D)), ("/", [("0.12345678", D), 1], ("0.12345678", D)),
+    ("ABS", [("-0.1234567890123456", D)], ("0.1234567890123456", D)), ("FLOOR", [("-0.00000000000000001", D)], ("-1.0", D)), ("CEIL", [("-0.5", D)], ("0.0", D)),
+    ("ROUND", [("-2.5", D)], ("-2.0", D)), ("ROUND", [("-2.51", D)], ("-3.0", D)), ("ROUND", [("0.49999999999999999", D)], ("0.0", D)),
+    ("xsd:integer", [("0.9999999999999", D)], 0), ("xsd:decimal", [("1.12345678901234", S)], ("1.12345678901234", D)),
+    ("SECONDS", [("2020-02-03T04:05:06.123456789Z", DT)], ("6.123456789", D)), ("SECONDS", [("2020-02-03T04:05:00Z", DT)], ("0", D)),
     ("CONCAT", [("a", S), ("b", S)], ("ab", S)), ("CONCAT", [("a", V.LANG_STRING, "en"), ("b", V.LANG_STRING, "en")], ("ab", V.LANG_STRING, "en")),
     ("STRLEN", [("añb", S)], 3), ("STRLEN", [5], None), ("SUBSTR", [("hello", S), 2, 3], ("ell", S)), ("SUBSTR", [("hello", S), 0, 3], ("he", S)),
     ("SUBSTR", [("hello", S), 4], ("lo", S)), ("UCASE", [("a", V.LANG_STRING, "en")], ("A", V.LANG_STRING, "en")),
@@ -65,3 +72,12 @@ def test_registered_function_and_arity(spark):
 def test_random_and_time_functions_make_terms(spark):
     row = spark.range(1).select(*[FN.call(n, []).alias(n) for n in ("RAND", "NOW", "UUID", "STRUUID", "BNODE")]).first()
     assert row["RAND"]["dt"] == DBL and row["NOW"]["dt"] == DT and row["UUID"]["value"].startswith("urn:uuid:") and row["BNODE"]["kind"] == "bnode"
+
+
+def test_malformed_patterns_do_not_fail_the_query(spark):
+    with pytest.raises(ValueError):
+        FN.check_pattern("(")
+    FN.check_pattern("(a)")
+    rows = spark.createDataFrame([(1, "a"), (2, "("), (3, None)], "k int, p string").select(
+        "k", FN.call("REGEX", [FN.literal("abc"), FN.safe_pattern(FN.literal(F.col("p")))])["value"].alias("r"))
+    assert dict(map(tuple, rows.collect())) == {1: "true", 2: None, 3: None}
