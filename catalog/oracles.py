@@ -199,6 +199,11 @@ def d_(x):
     return (dec(x), q(DEC))
 
 
+def x_(x):
+    """A decimal with all the digits of its SQL type."""
+    return (f"regexp_replace(regexp_replace(CAST({x} AS VARCHAR), '0+$', ''), '\\.$', '.0')", q(DEC))
+
+
 def b_(x):
     return (f"CAST({x} AS VARCHAR)", q(BOOL))
 
@@ -220,6 +225,14 @@ add("functions_arithmetic", values(
     add=d_(f"{_q} + {_p}"), add_int=i_("l_linenumber + l_partkey"), sub=d_(f"{_p} - {_q} - {_n}"), mul=d_(f"{_q} * {_p}"),
     mul_int=i_("l_linenumber * l_partkey"), div=d_(f"{_p} * 0.125"), div_zero=NONE, untyped=NONE,
     dbl=(f"CAST(CAST(2 * {_n} AS DOUBLE) AS VARCHAR) || 'e0'", q(DBL))), LI)
+_d, _x = "CAST(l_discount AS DECIMAL(4,2))", "CAST(l_tax AS DECIMAL(4,2))"
+_m, _e = "CAST(l_extendedprice AS DECIMAL(12,2))", "CAST('0.00000001' AS DECIMAL(8,8))"
+_big = "CAST(l_orderkey || '99999999999999999999.5' AS DECIMAL(36,2))"
+add("functions_exact_decimals", values(
+    "li", "l", distinct=True,
+    mul=x_(f"{_m} * {_d} * {_x}"), mul_tiny=x_(f"{_m} * {_d} * {_x} * {_e}"), add_tiny=x_(f"CAST({_m} AS DECIMAL(20,8)) + {_e}"),
+    sub_tiny=x_(f"{_e} - CAST({_d} AS DECIMAL(12,8))"), add_large=x_(f"{_big} + {_d}"), abs_tiny=x_(f"abs({_e} - CAST({_m} AS DECIMAL(20,8)))"),
+    floor_large=d_(f"floor({_big})"), cast_tiny=x_(f"{_x} * {_e}")), LI)
 _b = "CAST(c_acctbal AS DECIMAL(18,2))"
 add("functions_numeric", values(
     "customer", "c_custkey", abs=d_(f"abs({_b})"), ceil=d_(f"ceil({_b})"), floor=d_(f"floor({_b})"), round=d_(f"floor({_b} + 0.5)"),

@@ -223,6 +223,21 @@ def _(spark, sf):
     return out.distinct()
 
 
+@query("functions_exact_decimals")
+def _(spark, sf):
+    """Products and sums with more fraction digits than money has, and past 20 digits."""
+    li = lift.spread(lift.read(spark, sf, "lineitem"))
+    price, disc, tax = (literal(lift.money(F.col(f"l_{c}")), V.DECIMAL) for c in ("extendedprice", "discount", "tax"))
+    large = literal(F.concat(F.col("l_orderkey").cast("string"), F.lit("99999999999999999999.5")), V.DECIMAL)
+    f, tiny = FN.call, _c("0.00000001", V.DECIMAL)
+    out = _values(
+        li.withColumn("key", lift.line_label()),
+        mul=f("*", [price, disc, tax]), mul_tiny=f("*", [price, disc, tax, tiny]), add_tiny=f("+", [price, tiny]), sub_tiny=f("-", [tiny, disc]),
+        add_large=f("+", [large, disc]), abs_tiny=f("ABS", [f("-", [tiny, price])]), floor_large=f("FLOOR", [large]), cast_tiny=f("xsd:decimal", [f("*", [tax, tiny])]),
+    )
+    return out.distinct()
+
+
 @query("functions_numeric")
 def _(spark, sf):
     p = lift.spread(lift.read(spark, sf, "customer"))
