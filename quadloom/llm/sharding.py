@@ -16,7 +16,9 @@ an empty table has no shards in use; further columns are passed on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadloom.llm.common import stored, utf8
@@ -53,20 +55,32 @@ def splitters(samples: DataFrame, n: int) -> list[tuple]:
     return sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
 
 
-def find_range(bounds: list[tuple]) -> Column:
-    """Index of the range a row falls in: a binary search written as nested conditions."""
-    key = F.struct(*KEY)
+def bounds_up_to(bounds: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
+    """For each key, how many of the sorted bounds are not above it. Both are given by column; where
+    the first column ties, the others decide."""
+    low, high = (np.searchsorted(bounds[0], keys[0], side) for side in ("left", "right"))
+    if len(bounds) == 1:
+        return high
+    out = low.copy()
+    for at in np.unique(low[low < high]):
+        own = np.flatnonzero((low == at) & (high > low))
+        tied = slice(at, high[own[0]])
+        out[own] += bounds_up_to([b[tied] for b in bounds[1:]], [k[own] for k in keys[1:]])
+    return out
 
-    def lit(b: tuple) -> Column:
-        return F.struct(*(F.lit(x).cast("long").alias(k) for k, x in zip(KEY, b, strict=True)))
 
-    def within(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < lit(bounds[mid]), within(lo, mid)).otherwise(within(mid + 1, hi))
+def find_range(spark: SparkSession, bounds: list[tuple]) -> Column:
+    """Index of the range a row falls in: a binary search in the boundaries. These are 24 bytes each
+    and a few for every RANGE_ROWS rows, so they are sent as arrays; as literals, their number would be
+    the size of the plan."""
+    shared = spark.sparkContext.broadcast([np.array([b[i] for b in bounds], np.int64) for i in range(len(KEY))])
 
-    return within(0, len(bounds)).cast("int")
+    @F.arrow_udf("int")
+    def of(k_hash: pa.Array, k_id: pa.Array, k_row: pa.Array) -> pa.Array:
+        keys = [k.to_numpy(zero_copy_only=False) for k in (k_hash, k_id, k_row)]
+        return pa.array(bounds_up_to(shared.value, keys).astype(np.int32))
+
+    return of(*KEY)
 
 
 def ranges_of(rows: DataFrame, shards: int) -> DataFrame:
@@ -77,7 +91,7 @@ def ranges_of(rows: DataFrame, shards: int) -> DataFrame:
     n = max(shards * RANGES_PER_SHARD, 2 * total["n"] // RANGE_ROWS)
     bounds: list[tuple] = splitters(draw(rows, F.lit(n * SAMPLES_PER_RANGE / total["b"])), n)
     while True:
-        placed = rows.withColumn("r", find_range(bounds))
+        placed = rows.withColumn("r", find_range(rows.sparkSession, bounds))
         full = placed.groupBy("r").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min(F.struct(*KEY)).alias("lo"), F.max(F.struct(*KEY)).alias("hi"))
         limit = max(2 * total["b"] // n, 1)
         over = full.where(((F.col("b") > limit) & (F.col("n") > 64) | (F.col("n") > RANGE_ROWS)) & (F.col("lo") != F.col("hi"))).collect()

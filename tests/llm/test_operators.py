@@ -106,6 +106,15 @@ def test_sharding(docs, none):
     assert sharding.shard_by_bytes(none, 4).count() == 0
 
 
+def test_ranges_of_keys_that_tie():
+    rng = random.Random(6)
+    draw = lambda: (rng.randrange(4), rng.randrange(3), rng.randrange(5))
+    for n in (0, 1, 7, 40):
+        bounds, keys = sorted({draw() for _ in range(n)}), [draw() for _ in range(200)]
+        got = sharding.bounds_up_to(*([np.array([x[i] for x in xs], np.int64) for i in range(3)] for xs in (bounds, keys)))
+        assert got.tolist() == [sum(b <= k for b in bounds) for k in keys]
+
+
 def test_sharding_cuts_a_hot_text(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("same text")).otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     got = sharding.shard_by_bytes(rows, 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
