@@ -36,6 +36,7 @@ def graph(*triples, m="0", g=""):
         ('{"@context":{"@vocab":"http://x/","@language":"de"},"@id":"http://x/a","p":"q"}', [("a", "p", ("q", V.LANG_STRING, "de"))]),
         ('[{"@id":"http://x/a","http://x/p":"q"},{"@id":"http://x/b","unknown":"dropped"}]', [("a", "p", ("q", V.STRING))]),
         (CTX + '"@graph":[{"@id":"x:a","x:p":{"@id":"x:b"}},{"@context":{"y":"http://x/sub/"},"@id":"y:c","y:p":1}]}', [("a", "p", "b"), ("http://x/sub/c", "http://x/sub/p", 1)]),
+        (CTX + '"@id":"x:a","x:n":[1,[2,"[[3]]"],[]]}', [("a", "n", 1), ("a", "n", 2), ("a", "n", ("[[3]]", V.STRING))]),
         ("{}", []),
     ],
 )
@@ -58,14 +59,14 @@ def test_context_patch(spark):
 
 def test_bad_messages_are_kept_with_their_reason(spark):
     deep = CTX + '"@id":"x:a","x:p":{"x:p":{"x:p":{"x:p":1}}}}'
-    docs = ["no json", "5", '{"http://p":{"@list":[1]}}', '{"@context":"http://remote"}', deep, CTX + '"@id":"x:a","x:p":1}']
+    docs = ["no json", "5", '{"http://p":{"@list":[1]}}', '{"@context":"http://remote"}', deep, CTX + '"@id":"x:a","x:p":1}', '{"http://x/p":{"http://x/q":[1,[ [2]]]}}']
     df = spark.createDataFrame([(str(i), d) for i, d in enumerate(docs)], "msg_id string, raw string")
     good, bad = J.read_messages(df, max_depth=3)
     assert [r["msg_id"] for r in good.collect()] == ["5"]
     reasons = {r["msg_id"]: (r["bad"], r["raw"]) for r in bad.collect()}
-    assert [reasons[str(i)][0] for i in range(5)] == [J.BAD_JSON, J.BAD_JSON, J.BAD_KEYWORD, J.BAD_CONTEXT, J.BAD_DEPTH]
+    assert [reasons[i][0] for i in "012346"] == [J.BAD_JSON, J.BAD_JSON, J.BAD_KEYWORD, J.BAD_CONTEXT, J.BAD_DEPTH, J.BAD_ARRAY]
     assert reasons["4"][1] == deep
-    with pytest.raises(Exception, match="bad message [0-4]: "):
+    with pytest.raises(Exception, match="bad message [0-46]: "):
         J.read_messages(df, max_depth=3, on_bad_message="fail")[0].collect()
 
 
