@@ -10,7 +10,8 @@ under a trigram model of characters counted over the whole corpus. The restored
   label (the first by a hash of their id), by document counts of restored words and their beginnings.
   Three quarters of them give the words' weights, a quarter fits the logistic curve from a document's
   evidence to its score.
-* A word is decoded once a worker; plain words have one reading and need no lattice.
+* A word of any length is decoded, once a worker if it is short; plain words have one reading and need
+  no lattice. Lattices are made and decoded in a stream, that keeps the paths from where they part.
 
 Only the text enters a score. Defined cases: null and empty texts have no evidence and get the score of
 that; repeated labels of an id count once, the larger holds; labels other than 0 and 1 and null ids are
@@ -21,9 +22,11 @@ none); other columns are passed on.
 from __future__ import annotations
 
 import math
+import os
 import re
 import unicodedata
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,9 @@ MAX_WORDS = 50_000
 MIN_WEIGHT = 2.0
 STEM = 5
 WORKER_ENTRIES = 500_000
-LONGEST_WORD = 48
+#: Characters of the longest token remembered, and places after which a decoder settles what all paths share.
+LONGEST_KEY = 48
+SETTLE = 64
 
 #: Signs that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
@@ -120,11 +125,12 @@ class Decoder:
     def __init__(self, logs: list[float]):
         self.logs = logs
 
-    def viterbi(self, lattice: list[list[tuple[str, float]]]) -> str:
+    def viterbi(self, lattice: Iterable[list[tuple[str, float]]]) -> str:
         """The likeliest path: each place of the lattice offers strings with their costs."""
         logs = self.logs
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in lattice:
+        settled: list[str] = []
+        for place, options in enumerate(lattice, 1):
             ahead: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, said) in best.items():
                 for text, cost in options:
@@ -137,11 +143,16 @@ class Decoder:
                     if old is None or s > old[0]:
                         ahead[x, y] = (s, said + text)
             best = ahead
-        return max((s + logs[(x * SYMBOLS + y) * SYMBOLS], said) for (x, y), (s, said) in best.items())[1]
+            if place % SETTLE == 0:
+                shared = os.path.commonprefix([said for _, said in best.values()])
+                settled.append(shared)
+                best = {k: (s, said[len(shared) :]) for k, (s, said) in best.items()}
+        settled.append(max((s + logs[(x * SYMBOLS + y) * SYMBOLS], said) for (x, y), (s, said) in best.items())[1])
+        return "".join(settled)
 
     @staticmethod
-    def lattice(word: str, gaps: bool = False) -> list[list[tuple[str, float]]]:
-        out, i = [], 0
+    def lattice(word: str, gaps: bool = False) -> Iterator[list[tuple[str, float]]]:
+        i, fixed = 0, []
         while i < len(word):
             c, n = word[i], 1
             while i + n < len(word) and word[i + n] == c:
@@ -159,11 +170,15 @@ class Decoder:
                 readings = [(x * k, cost + (0.0 if k == n else REPEATED)) for x, cost in readings for k in (1, 2)]
             if gaps and i < len(word):
                 readings += [(x + " ", cost + APART) for x, cost in readings]
-            if len(readings) == 1 and out and len(out[-1]) == 1:  # places with one reading are one place
-                readings = [(out[-1][0][0] + readings[0][0], out[-1][0][1] + readings[0][1])]
-                out.pop()
-            out.append(readings)
-        return out
+            if len(readings) == 1:  # places with one reading are one place
+                fixed.append(readings[0])
+                continue
+            if fixed:
+                yield [("".join(x for x, _ in fixed), sum(cost for _, cost in fixed))]
+                fixed = []
+            yield readings
+        if fixed:
+            yield [("".join(x for x, _ in fixed), sum(cost for _, cost in fixed))]
 
     def word(self, token: str) -> str:
         """A token in lower case without its marks, restored."""
@@ -171,7 +186,7 @@ class Decoder:
         w = _SIGNS.sub("", w).strip(_EDGE)
         if w.isalpha() and not _TWICE.search(w):
             return w
-        if len(w) > LONGEST_WORD or not any(c.isalpha() for c in w):
+        if not any(c.isalpha() for c in w):
             return w
         if _SPACED.fullmatch(w):
             w = w[::2]
@@ -215,7 +230,7 @@ class Weights(dict):
     def __missing__(self, token: str) -> float:
         get = self.weights.get
         found = max(get(f, 0.0) for f in features_of(self.decoder.word(token)))
-        if len(token) <= LONGEST_WORD:
+        if len(token) <= LONGEST_KEY:
             if len(self) >= WORKER_ENTRIES:
                 self.clear()
             self[token] = found
@@ -275,11 +290,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found: set[str] = set()
                 for w in tokens_of(t or "", decoder.apart):
-                    if w not in known:
-                        if len(known) >= WORKER_ENTRIES:
-                            known.clear()
-                        known[w] = features_of(decoder.word(w))
-                    found.update(known[w])
+                    own = known.get(w)
+                    if own is None:
+                        own = features_of(decoder.word(w))
+                        if len(w) <= LONGEST_KEY:
+                            if len(known) >= WORKER_ENTRIES:
+                                known.clear()
+                            known[w] = own
+                    found.update(own)
                 out += found
                 kinds += [toxic] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(kinds, pa.int32())], ["f", "toxic"])

@@ -262,6 +262,23 @@ def test_toxicity(spark):
     assert toxicity.score(docs.where("false"), few).count() == 0
 
 
+def decoder_of(text: str) -> toxicity.Decoder:
+    s = np.concatenate([[0, 0], toxicity.Symbols().of(text), [0, 0]]).astype(np.int64)
+    n = toxicity.SYMBOLS
+    return toxicity.Decoder(toxicity.CharModel(np.bincount((s[:-2] * n + s[1:-1]) * n + s[2:], minlength=n**3)).reader())
+
+
+def test_toxicity_decodes_words_of_any_length():
+    decoder = decoder_of("such a grobian and a lumpen man are here " * 50)
+    for n in (5, 60, 5000):
+        assert decoder.word("gr" + "0" * n + "bi4n") == "grobian"
+        assert decoder.word(".".join("gr" + "o" * n + "b1an")) == "grobian"
+    assert decoder.word("gr0bi4n" * 2000) == "grobian" * 2000
+    seen = toxicity.Weights(decoder, {"grobian": 3.0})
+    assert seen.evidence("a man gr" + "o" * 60 + "bian") == (3.0, 0.0)
+    assert max(map(len, seen)) <= toxicity.LONGEST_KEY
+
+
 def test_ann(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 8)) + rng.normal(size=(6, 8))[rng.integers(0, 6, 600)] * 2
