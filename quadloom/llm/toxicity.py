@@ -209,9 +209,7 @@ def tokens_of(text: str, decode_apart) -> set[str]:
         while i + n < len(single) and single[i + n] == single[i] + n:
             n += 1
         if n >= 3:
-            run = words[single[i] : single[i] + n]
-            for k in range(0, n, 40):
-                out.update(decode_apart(run[k : k + 40]))
+            out.update(decode_apart(words[single[i] : single[i] + n]))
         i += n
     return out
 

@@ -279,6 +279,13 @@ def test_toxicity_decodes_words_of_any_length():
     assert max(map(len, seen)) <= toxicity.LONGEST_KEY
 
 
+def test_toxicity_decodes_whole_runs_of_letters():
+    decoder = decoder_of("such a grobian and a lumpen man are here " * 50)
+    for k in range(30):
+        run = " ".join("man" * k + "grobian" + "man" * 20)
+        assert "grobian" in toxicity.tokens_of("here " + run + " here", decoder.apart), k
+
+
 def test_ann(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 8)) + rng.normal(size=(6, 8))[rng.integers(0, 6, 600)] * 2
