@@ -10,6 +10,8 @@ under a trigram model of characters counted over the whole corpus. The restored
   label (the first by a hash of their id), by document counts of restored words and their beginnings.
   Three quarters of them give the words' weights, a quarter fits the logistic curve from a document's
   evidence to its score.
+* Signs at a word's edge, in words without a letter too, are letters or nothing, as the model has it;
+  digits of a word without a letter may stay. Other punctuation around a word is taken off.
 * A word of any length is decoded, once a worker if it is short; plain words have one reading and need
   no lattice. Lattices are made and decoded in a stream, that keeps the paths from where they part.
 
@@ -54,11 +56,13 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 MASK = "aeiou"
 #: Costs of the channel, as logs of chances: a letter written as itself costs nothing.
 SWAPPED, REPEATED, MASKED, APART = -1.0, -1.5, -2.5, -1.0
+#: Costs of a run of a sign that stands for nothing, which it may at a word's edge, and of ``!`` at the end.
+DROPPED, EXCLAIMED = -5.0, -1.0
 
-_EDGE = ".,;:?\"'()[]{}<>…«»¿¡-_*#%&~`^/\\="
-_SIGNS = re.compile(r"[$@!|+]{2,}$|!$")
+_EDGE = ".,;:?\"'()[]{}<>…«»¿¡-_#%&~`^/\\="
+_SIGNS = "".join(c for c in LEET if not c.isdigit()) + "*"
 _TWICE = re.compile(r"(.)\1")
-_SPACED = re.compile(r"\w(?:[^\w\s]\w){2,}", re.UNICODE)
+_SPACED = re.compile(rf"([{re.escape(_SIGNS)}]*)(\w(?:[^\w\s]\w){{2,}})([{re.escape(_SIGNS)}]*)", re.UNICODE)
 
 
 def symbol(c: str) -> int:
@@ -153,8 +157,14 @@ class Decoder:
     @staticmethod
     def lattice(word: str, gaps: bool = False) -> Iterator[list[tuple[str, float]]]:
         i, fixed = 0, []
+        first, last = 0, len(word)  # between them, the word without what is no letter or digit at its edges
+        while first < last and not word[first].isalnum():
+            first += 1
+        while first < last and not word[last - 1].isalnum():
+            last -= 1
+        number = not any(map(str.isalpha, word))
         while i < len(word):
-            c, n = word[i], 1
+            c, n, inner = word[i], 1, first <= i < last
             while i + n < len(word) and word[i + n] == c:
                 n += 1
             i += n
@@ -168,6 +178,10 @@ class Decoder:
                 readings = [("", 0.0)]
             if n > 1 and c != "*":
                 readings = [(x * k, cost + (0.0 if k == n else REPEATED)) for x, cost in readings for k in (1, 2)]
+            if c in LEET and not inner:
+                readings.append(("", EXCLAIMED if c == "!" and i == len(word) else DROPPED))
+            elif number and c.isdigit():
+                readings.append((c * n, 0.0))
             if gaps and i < len(word):
                 readings += [(x + " ", cost + APART) for x, cost in readings]
             if len(readings) == 1:  # places with one reading are one place
@@ -183,13 +197,10 @@ class Decoder:
     def word(self, token: str) -> str:
         """A token in lower case without its marks, restored."""
         w = unicodedata.normalize("NFC", token).lower().strip(_EDGE)
-        w = _SIGNS.sub("", w).strip(_EDGE)
         if w.isalpha() and not _TWICE.search(w):
             return w
-        if not any(c.isalpha() for c in w):
-            return w
-        if _SPACED.fullmatch(w):
-            w = w[::2]
+        if spaced := _SPACED.fullmatch(w):
+            w = spaced[1] + spaced[2][::2] + spaced[3]
         return self.viterbi(self.lattice(w))
 
     def apart(self, letters: list[str]) -> list[str]:

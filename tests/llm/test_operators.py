@@ -286,6 +286,14 @@ def test_toxicity_decodes_whole_runs_of_letters():
         assert "grobian" in toxicity.tokens_of("here " + run + " here", decoder.apart), k
 
 
+def test_toxicity_reads_signs_at_edges():
+    decoder = decoder_of("the boss and an ass ate olives, an olive. In 2019, 455 of 2020 - stupid asses . . . - hiss on the boss, alas! Sit, it would sit. " * 50)
+    want = {"bo$$": "boss", "@$$": "ass", "(a$$)": "ass", "oliv*": "olive", "*live": "olive", "$tupid": "stupid", "al@$": "alas", "h!$$": "hiss", "$!+": "sit"}
+    want |= {"THE!!": "the", "stupid$$$": "stupid", "boss***": "boss", "**the": "the", "|the|": "the", "i.n!!": "in", "o.l.i.v.e!!": "olive", "2019": "2019", "455": "455"}
+    assert {w: decoder.word(w) for w in want} == want
+    assert toxicity.Weights(decoder, {"ass": 3.0}).evidence("the a$$ and") == (3.0, 0.0)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 8)) + rng.normal(size=(6, 8))[rng.integers(0, 6, 600)] * 2
