@@ -2,9 +2,10 @@
 
 A text is cut where no piece of the vocabulary can reach across: before a space that follows another
 character, and around line ends. Lengths of these pre-tokens add up to the length of the text, so two
-tables serve nearly all of them: one of frequent pre-tokens, built from a bounded sample and broadcast
-as one blob of keys and one of lengths, and one per worker that remembers what it had to encode. No
-pre-token is ever shuffled and the tables change nothing but the time taken.
+tables serve nearly all of them: one of frequent pre-tokens, counted over all texts and broadcast as one
+blob of keys and one of lengths, and one per worker that remembers what it had to encode. Of the
+pre-tokens only each task's most frequent are shuffled, with their counts, and the tables change nothing
+but the time taken.
 
 Defined cases: a null or empty text has 0 tokens; control strings inside a text are ordinary text, as
 the library has it by default; a text of any length is counted whole; rows are independent, so repeated
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.common import utf8
 
-#: Documents that the table of frequent pre-tokens is built from, at most, and entries it has, at most.
-SAMPLE_DOCS = 1000
+#: Entries of the table of frequent pre-tokens, at most, and those a task counts before it drops the rarest.
 FREQUENT = 50_000
+COUNTED = 400_000
 #: Entries of a worker's own table, after which it starts anew, and bytes of the longest key kept.
 WORKER_ENTRIES = 400_000
 LONGEST_KEY = 64
@@ -82,23 +83,21 @@ class Lengths(dict):
 
 
 def frequent_table(docs: DataFrame, path: str, text: str = "text") -> tuple[bytes, bytes]:
-    """Keys and lengths of the most frequent pre-tokens of at most SAMPLE_DOCS documents."""
-    n = docs.count()
-    some = docs.select(utf8(text).alias("text")).sample(min(1.0, 10 * SAMPLE_DOCS / max(n, 1)), seed=3).limit(SAMPLE_DOCS)
+    """Keys and lengths of the most frequent pre-tokens of all documents."""
 
     def count(batches):
         counts: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
+            for t in b.column(0):
+                if t := t.as_py():
                     counts.update(k for k in pre_tokens(t) if 0 < len(k) <= LONGEST_KEY and b" " not in k)
+                    if len(counts) > COUNTED:
+                        counts = Counter(dict(counts.most_common(FREQUENT)))
         top = counts.most_common(FREQUENT)
         yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in top], pa.binary()), "n": pa.array([c for _, c in top], pa.int64())})
 
-    counts: Counter = Counter()
-    for r in some.mapInArrow(count, "key binary, n long").collect():
-        counts[bytes(r["key"])] += r["n"]
-    keys = [k for k, _ in counts.most_common(FREQUENT)]
+    counted = docs.select(utf8(text).alias("text")).mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    keys = [bytes(r["key"]) for r in counted.orderBy(F.col("n").desc(), "key").limit(FREQUENT).collect()]
     lengths = Lengths({}, path)
     pairs = [(k, n) for k in keys if (n := lengths[k]) < 256]
     return b" ".join(k for k, _ in pairs), bytes(n for _, n in pairs)

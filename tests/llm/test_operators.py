@@ -61,6 +61,12 @@ def test_token_counts_without_tables():
         assert table.count(text.encode()) == len(token_counts.encoder(path).encode(text)), repr(text)
 
 
+def test_frequent_pre_tokens_of_all_documents(spark):
+    docs = spark.range(0, 12_000, 1, 4).select(F.when(F.col("id") < 9000, "early words").otherwise("late late late").alias("text"))
+    keys, lengths = token_counts.frequent_table(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert sorted(keys.split(b" ")) == [b"early", b"late", b"words"] and len(lengths) == 3
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
