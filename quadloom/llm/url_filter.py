@@ -7,7 +7,8 @@ level of a tree is one grouped sum of gradients by node, feature and bin; only t
 number, reach the driver.
 
 Features: length, depth of the path, share of digits, entropy of characters, parameters, labels of the
-host, and of the host's last label how often it stands in the training URLs and the share of blocked ones.
+host, and of the host's last label how often it stands in all pages and, in the training URLs, the share
+of blocked ones. These come from a table of all last labels that is joined to the pages.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, meets no rule and is
 judged by its (empty) features; without labelled URLs of both kinds the verdict is that of the one kind,
@@ -30,7 +31,6 @@ TREES = 8
 DEPTH = 3
 RATE = 0.4
 RIDGE = 1.0
-SUFFIXES = 64
 
 NAMES = ("length", "depth", "digits", "entropy", "params", "labels", "suffix_n", "suffix_rate")
 
@@ -89,18 +89,28 @@ def with_features(pages: DataFrame, url: str, rules: list[Rule]) -> DataFrame:
             "_entropy": entropy(text),
             "_params": F.when(query != "", F.size(F.split(query, "&"))).otherwise(0).cast("double"),
             "_labels": F.when(F.col("host") != "", F.size(F.split("host", r"\."))).otherwise(0).cast("double"),
-            "_suffix": F.substring_index("host", ".", -1),
+            "_suffix": suffix_of(F.col("host")),
         }
     )
 
 
-def suffix_columns(stats: list, prior: float) -> dict[str, Column]:
-    n, rate = F.lit(0.0), F.lit(prior)
-    for r in stats:
-        here = F.col("_suffix") == F.lit(r["s"])
-        n = F.when(here, F.lit(math.log1p(r["n"]))).otherwise(n)
-        rate = F.when(here, F.lit((r["blocked"] + prior) / (r["n"] + 1))).otherwise(rate)
-    return {"_suffix_n": n, "_suffix_rate": rate}
+def suffix_of(host: Column) -> Column:
+    return F.substring_index(host, ".", -1)
+
+
+def suffix_table(pages: DataFrame, url: str, labelled: DataFrame, prior: float) -> DataFrame:
+    """``_suffix, _suffix_n, _suffix_rate`` of every last label of the pages."""
+    every = pages.groupBy(suffix_of(host_of(url)).alias("_suffix")).agg(F.count("*").alias("n"))
+    known = labelled.groupBy("_suffix").agg(F.count("*").alias("known"), F.sum("y").alias("blocked"))
+    rate = F.coalesce((F.col("blocked") + prior) / (F.col("known") + 1), F.lit(prior))
+    table = every.join(known, "_suffix", "left").select("_suffix", F.log1p("n").alias("_suffix_n"), rate.alias("_suffix_rate"))
+    return stored(table, "suffixes")  # of known size, so that a small one is broadcast
+
+
+def with_suffixes(rows: DataFrame, table: DataFrame | None) -> DataFrame:
+    if table is None:
+        return rows.withColumns({"_suffix_n": F.lit(0.0), "_suffix_rate": F.lit(0.0)})
+    return rows.drop("_suffix_n", "_suffix_rate").join(table, "_suffix", "left")
 
 
 @dataclass(frozen=True)
@@ -175,8 +185,7 @@ def bin_of(column: str, edges: list[float]) -> Column:
 
 @dataclass
 class Model:
-    suffixes: list
-    prior: float
+    suffixes: DataFrame | None
     start: float
     trees: list
 
@@ -190,19 +199,19 @@ def train(pages: DataFrame, url: str, rules: list[Rule]) -> Model:
     whole = labelled.agg(F.count("*").alias("n"), F.sum("y").alias("blocked")).first()
     n, blocked = whole["n"], whole["blocked"] or 0.0
     if not n or blocked in (0.0, float(n)):
-        return Model([], 0.0, 1.0 if n and blocked else -1.0, [])
+        return Model(None, 1.0 if n and blocked else -1.0, [])
     some = labelled.where(F.pmod(F.xxhash64(url), F.lit(1 << 30)) < int(min(1.0, MAX_TRAIN / n) * (1 << 30)))
     prior = blocked / n
-    stats = some.groupBy(F.col("_suffix").alias("s")).agg(F.count("*").alias("n"), F.sum("y").alias("blocked")).orderBy(F.col("n").desc(), "s").limit(SUFFIXES).collect()
+    suffixes = suffix_table(pages, url, some, prior)
     columns = ["_" + name for name in NAMES]
-    rows = some.withColumns(suffix_columns(stats, prior)).select(*columns, "y")
+    rows = with_suffixes(some, suffixes).select(*columns, "y")
     cuts = [i / BINS for i in range(1, BINS)]
     marks = rows.agg(*(F.percentile_approx(c, cuts, 1000).alias(c) for c in columns)).first()
     edges = {name: sorted(set(marks["_" + name])) for name in NAMES}
     # equal bins are one row: a value stands for its bin by the bin's upper edge
     binned = [F.element_at(F.array(*map(F.lit, [*edges[name], math.inf])), bin_of("_" + name, edges[name]) + 1).alias("_" + name) for name in NAMES]
     small = stored(rows.select(*binned, "y").groupBy(*columns, "y").agg(F.count("*").cast("double").alias("w")), "urls")
-    model = Model(stats, prior, math.log(prior / (1 - prior)), [])
+    model = Model(suffixes, math.log(prior / (1 - prior)), [])
     for _ in range(TREES):
         model.trees.append(grow(small, model.margin(), edges))
     return model
@@ -211,6 +220,6 @@ def train(pages: DataFrame, url: str, rules: list[Rule]) -> Model:
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, verdict and the model's score, which replace such columns."""
     model = train(pages, url, rules)
-    out = with_features(pages, url, rules).withColumns(suffix_columns(model.suffixes, model.prior)).withColumn("score", 1 / (1 + F.exp(-model.margin())))
+    out = with_suffixes(with_features(pages, url, rules), model.suffixes).withColumn("score", 1 / (1 + F.exp(-model.margin())))
     out = out.withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))})
     return out.drop("_hit", "_suffix", *("_" + n for n in NAMES))

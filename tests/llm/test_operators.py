@@ -353,6 +353,18 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.where("page_id < 3"), URL_RULES).where("verdict = 'allow'").count() == 3
 
 
+def test_url_suffixes_of_all_pages(spark):
+    from quadloom.llm.queries import URL_RULES
+
+    urls = [f"http://h{i}.{end}/de/" for i in range(40) for end in ("com", "org", f"x{i}")] + [f"http://h{i}.net/fr/" for i in range(20)]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r["_suffix"]: (round(math.expm1(r["_suffix_n"])), r["_suffix_rate"]) for r in url_filter.train(pages, "url", URL_RULES).suffixes.collect()}
+    prior = 20 / 60
+    want = {"com": (40, prior / 41), "net": (20, (20 + prior) / 21), "org": (40, prior)} | {f"x{i}": (1, prior) for i in range(40)}
+    assert got.keys() == want.keys() and all(got[k] == (n, pytest.approx(rate)) for k, (n, rate) in want.items())
+    assert url_filter.judge(pages, URL_RULES).count() == len(urls)
+
+
 def test_url_plan_has_no_python(spark):
     from quadloom.llm.queries import op4_url_filter
 
