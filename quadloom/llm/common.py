@@ -32,6 +32,37 @@ def utf8(text: str | Column) -> Column:
     return (F.col(text) if isinstance(text, str) else text).cast("binary")
 
 
+#: What a Python worker keeps from task to task: the tables of one operator at a time.
+_held: dict = {}
+
+
+def held(key, make):
+    """The worker's tables under this key. Workers outlive operators, so tables of another are dropped."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+class Recent:
+    """A bounded memory in two generations: when the younger is full, the older, which holds what was
+    not asked for since, is dropped."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def find(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.keep(key, got)
+        return got
+
+    def keep(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

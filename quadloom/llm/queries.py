@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import ann, chat, decontaminate, near_dups, packing, sharding, token_counts, toxicity, url_filter, warc
+from quadloom.llm import alignment, ann, chat, decontaminate, near_dups, packing, repeats, sharding, token_counts, toxicity, url_filter, vector_codes, warc
 from quadloom.llm.common import read_table
 
 
@@ -86,6 +86,37 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_inverted_multi_index, op3_token_counts, op4_url_filter, op5_chat_format, op6_warc, op7_near_duplicates, op8_packing, op9_sharding, op10_decontamination)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.compress(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OPERATORS = (
+    op1_toxicity,
+    op2_inverted_multi_index,
+    op3_token_counts,
+    op4_url_filter,
+    op5_chat_format,
+    op6_warc,
+    op7_near_duplicates,
+    op8_packing,
+    op9_sharding,
+    op10_decontamination,
+    op11_vector_codes,
+    op12_token_alignment,
+    op13_repeats,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 ORACLES: dict[str, str] = {}
