@@ -32,6 +32,14 @@ def utf8(text: str | Column) -> Column:
     return (F.col(text) if isinstance(text, str) else text).cast("binary")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: What a Python worker keeps from task to task: the tables of one operator at a time.
 _held: dict = {}
 

@@ -16,7 +16,6 @@ packed each; an empty table gives no piece; columns of the input are not passed
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import stored, utf8
+from quadloom.llm.common import Recent, held, stored, utf8
 
 CAPACITY = 4096
 END_ID = 1
-#: Entries of a worker's table of encoded words, after which it starts anew, and the longest word kept.
-WORKER_ENTRIES = 800_000
+#: Encoded words that a worker remembers in each of two generations, and the longest of them.
+REMEMBERED = 300_000
 LONGEST_KEY = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -39,13 +38,14 @@ class Encoder:
     """Ids of a text as bytes (little-endian, 32 bits), word by word through a table.
 
     Words stand between ASCII white space, which the tokenizer drops and never joins across. A text with
-    the beginning of a control string is encoded whole, since those are looked for before words."""
+    a control string is encoded whole, since those are looked for before words. The tokenizer lowers letters, so
+    words are remembered in lower case."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent(REMEMBERED)
         self.control = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -66,45 +66,44 @@ class Encoder:
         raw, cuts = ids.tobytes(), [0, *ends.tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def of(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in self.control):
-            return self._encode([text])[0]
-        words = text.split()
-        known = self.known
-        new = list(set(words).difference(known))
-        if not new:
-            return b"".join(map(known.__getitem__, words))
+    def _fresh(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not met lately."""
         stems, rest = [], []
         for w in new:
             # a letter before a single mark: the tokenizer cuts between them
             (stems if w[-1] in b".," and w[-2:-1].isalpha() else rest).append(w)
         found: dict[bytes, bytes] = {}
         if stems:
-            rest += {w[:-1] for w in stems}.union((b".", b",")).difference(known, rest)
+            parts = {w[:-1] for w in stems}.union((b".", b","))
+            found = {p: x for p in parts if (x := self.known.find(p)) is not None}
+            rest += parts.difference(found, rest)
         letters = [w for w in rest if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
         others = list(set(rest).difference(letters))
         found.update(zip(letters, self._encode_words(letters), strict=True))
         found.update(zip(others, self._encode(others), strict=True))
         for w in stems:
-            a, b = w[:-1], w[-1:]
-            found[w] = (known[a] if a in known else found[a]) + (known[b] if b in known else found[b])
-        if len(known) + len(found) > WORKER_ENTRIES:
-            out = b"".join([known[w] if w in known else found[w] for w in words])
-            known.clear()
-            return out
-        known.update(found)
-        out = b"".join(map(known.__getitem__, words))
-        for w in found:
-            if len(w) > LONGEST_KEY:
-                del known[w]
-        return out
-
+            found[w] = found[w[:-1]] + found[w[-1:]]
+        return found
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    def of(self, text: bytes | None) -> bytes:
+        if not text:
+            return b""
+        if any(c in text for c in self.control):
+            return self._encode([text])[0]
+        if b"\xcc" not in text and b"\xcd" not in text:  # no accent of its own that a letter's case may decide on
+            text = text.lower()
+        words = text.split()
+        got = list(map(self.known.young.get, words))
+        if None in got:
+            missing = {w for w, x in zip(words, got, strict=True) if x is None}
+            found = {w: x for w in missing if (x := self.known.old.get(w)) is not None}
+            if len(found) < len(missing):
+                found |= self._fresh([w for w in missing if w not in found])
+            got = [found[w] if x is None else x for w, x in zip(words, got, strict=True)]
+            for w, x in found.items():
+                if len(w) <= LONGEST_KEY:
+                    self.known.keep(w, x)
+        return b"".join(got)
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, key: str, text: str, with_ids: bool) -> DataFrame:
@@ -114,7 +113,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, key: str, text: str, w
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * with_ids
 
     def cut(batches):
-        of = encoder(path).of
+        of = held(("packing", path), lambda: Encoder(path)).of
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
@@ -230,6 +229,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_i
         seq, off = places.value.of(lengths.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False))
         return pa.StructArray.from_arrays([pa.array(seq), pa.array(off)], ["sequence_id", "offset"])
 
-    ranked = pieces.join(base.drop("n"), ["length", "part"]).withColumn("p", place("length", F.col("base") + F.col("nth")))
+    # a row for each task and length, which no bound holds: dealt with the pieces, not broadcast
+    ranked = pieces.join(base.drop("n").hint("merge"), ["length", "part"]).withColumn("p", place("length", F.col("base") + F.col("nth")))
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "p.sequence_id", "p.offset"]
     return ranked.select(*out, *["ids"] * with_ids)

@@ -3,9 +3,11 @@
 An archive is a run of gzip members, one for each record. Tasks can't write plain files to every store
 that Spark can, so an archive is kept as rows ``archive, segment, data``: segments of whole members, in
 order, which together are the bytes of the ``.warc.gz`` file. ``from_files`` gives the same rows for
-such files in any store, and ``members`` reads both the same way, a chunk at a time: it inflates one
-member incrementally, takes the record's length from its content-length, hashes the payload as it
-passes, and never holds more than a chunk unless the payload is asked for.
+such files in any store (a file is a row, so up to 2 GB), and ``members`` reads both the same way, a chunk at
+a time: it inflates one member incrementally, takes the record's length from its content-length, hashes the
+payload as it passes, and never holds more than a chunk and a header unless the payload is asked for.
+Records of any type are framed by their content-length alone; the payload of responses and revisits that
+hold an HTTP message is what follows its header, that of all others their whole block.
 
 Equal payloads are written once: the page with the smallest id is a response record, the others are
 revisit records that refer to it. Digests are computed in Spark; only ids and digests are shuffled to
@@ -85,16 +87,26 @@ class Member:
                 return True
         return False
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
-        while (at := self.out.find(mark)) < 0:
-            if len(self.out) > limit or not self.fill():
+    def until(self, mark: bytes, most: int | None = None) -> bytes:
+        """What stands before the mark, of any length or within the next ``most`` bytes."""
+        seen, parts = b"", []
+        while (at := (seen + self.out).find(mark)) < 0:
+            keep = len(mark) - 1  # the mark may begin here
+            both = seen + self.out
+            parts.append(both[: max(0, len(both) - keep)])
+            seen, self.out = both[len(parts[-1]) :], b""
+            if most is not None and sum(map(len, parts)) > most or not self.fill():
                 raise Damaged("a header without an end")
-        head, self.out = self.out[:at], self.out[at + len(mark) :]
+        both = seen + self.out
+        self.out = both[at + len(mark) :]
+        head = b"".join([*parts, both[:at]])
+        if most is not None and len(head) + len(mark) > most:
+            raise Damaged("an HTTP header longer than its record")
         return head
 
     def take(self, n: int) -> Iterator[bytes]:
         """The next n bytes, in chunks."""
-        while n:
+        while n > 0:
             if not self.out and not self.fill():
                 raise Damaged("a record shorter than its content-length")
             part, self.out = self.out[:n], self.out[n:]
@@ -116,10 +128,13 @@ def members(chunks: Iterable[bytes], with_payload: bool = False) -> Iterator[dic
         version, head = headers(m.until(b"\r\n\r\n"))
         if not version.startswith("WARC/"):
             raise Damaged(f"no record: {version[:40]!r}")
-        length = int(head["content-length"])
-        http = m.until(b"\r\n\r\n")
-        _, fields = headers(http)
-        body = length - len(http) - 4
+        kind, length = head.get("warc-type", ""), head.get("content-length", "")
+        if not length.isdigit():
+            raise Damaged("a record without a content-length")
+        body, fields = int(length), {}
+        if kind in ("response", "revisit") and body and head.get("content-type", "").lower().startswith("application/http"):
+            http = m.until(b"\r\n\r\n", body)
+            fields, body = headers(http)[1], body - len(http) - 4
         sha, kept, n = hashlib.sha1(), [], 0
         for part in m.take(body):
             sha.update(part)
@@ -128,17 +143,17 @@ def members(chunks: Iterable[bytes], with_payload: bool = False) -> Iterator[dic
                 kept.append(part)
         if b"".join(m.take(4)) != b"\r\n\r\n" or m.fill() or m.out:
             raise Damaged("a record that doesn't end where its content-length says")
-        kind, digest = head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:")
-        full = int(fields.get("content-length", n))
-        own = base64.b32encode(sha.digest()).decode()
+        own, digest = base64.b32encode(sha.digest()).decode(), head.get("warc-payload-digest", "").removeprefix("sha1:")
+        said = fields.get("content-length", "")
+        full = int(said) if said.isdigit() else n
         yield {
-            "record_id": head["warc-record-id"],
+            "record_id": head.get("warc-record-id"),
             "record_type": kind,
             "target_uri": head.get("warc-target-uri"),
             "refers_to": head.get("warc-refers-to"),
-            "payload_digest": digest,
+            "payload_digest": digest or own,
             "payload_bytes": full,
-            "verified": kind == "revisit" or (own == digest and full == n),
+            "verified": None if kind == "revisit" else (not digest or own == digest) and full == n,
         } | ({"payload": b"".join(kept)} if with_payload else {})
         rest = m.z.unused_data or next(chunks, b"")
 
@@ -184,8 +199,9 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), F.lit(0).cast("long").alias("segment"), F.col("content").alias("data"))
 
 
-def read_archives(segments: DataFrame) -> DataFrame:
-    """Records of archives: ids, type, digest, length, and whether payload and digest agree."""
+def read_records(segments: DataFrame) -> DataFrame:
+    """Records of archives as they stand: ids, type, digest, length, and whether payload and digest agree,
+    which for a revisit only the record that it refers to can tell (null)."""
     names = [c.split()[0] for c in RECORDS.split(", ")]
     kinds = [pa.string()] * 5 + [pa.int64(), pa.bool_()]
 
@@ -197,3 +213,15 @@ def read_archives(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in zip(names, kinds, strict=True)], names)
 
     return segments.select("data").mapInArrow(read, RECORDS)
+
+
+def read_archives(segments: DataFrame) -> DataFrame:
+    """Records of archives, revisits checked against the records they refer to: that one is verified and
+    has their digest and length."""
+    records = stored(read_records(segments), "records")
+    rest, again = records.where("record_type <> 'revisit'"), records.where("record_type = 'revisit'")
+    firsts = rest.where("verified").select(F.col("record_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    known = ["refers_to", "payload_digest", "payload_bytes"]
+    good = again.join(firsts, known, "left_semi").withColumn("verified", F.lit(True))
+    bad = again.join(firsts, known, "left_anti").withColumn("verified", F.lit(False))
+    return rest.unionByName(good).unionByName(bad)

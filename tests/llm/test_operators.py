@@ -1,8 +1,10 @@
 """Each operator against a plain version of itself, over rows made to be awkward."""
 
+import gzip
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -13,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadloom.llm import ann, chat, decontaminate, near_dups, packing, sharding, token_counts, toxicity, url_filter, warc
-from quadloom.llm.common import components
+from quadloom.llm.common import Recent, components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -370,3 +372,105 @@ def test_url_plan_has_no_python(spark):
 
     plan = op4_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_toxicity_reads_masks():
+    decoder = decoder_of("the company of a moon is in that man, a company with the men and this. A shit company that is in the sea " * 50)
+    want = {"co**any": "company", "c*mp*ny": "company", "m**n": "moon", "*ompany": "company", "that***": "that", "***the***": "the", "***": "", "with**": "with"}
+    assert {w: decoder.word(w) for w in want} == want
+    assert decoder.word("c" + "*" * 400 + "y")[:1] == "c"
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    decoder = decoder_of("such a grobian and a lumpen man are here, the boss and an ass ate olives " * 20)
+    rng = random.Random(2)
+
+    def score(text: str) -> float:
+        s = [0, 0, *map(toxicity.symbol, text), 0]
+        return sum(decoder.logs[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
+
+    for _ in range(150):
+        word = "".join(rng.choice("abeglmnorstu0134$@!**") for _ in range(rng.randrange(1, 6)))
+        options = []
+        for place in decoder.lattice(word):
+            if isinstance(place, toxicity.Masked):
+                options += [[("", place.nothing), *((chr(97 + i), toxicity.MASKED) for i in range(26))]] * place.size
+            else:
+                options.append(place)
+        if math.prod(map(len, options)) > 60_000:
+            continue
+        best = max(sum(cost for _, cost in path) + score("".join(x for x, _ in path)) for path in itertools.product(*options))
+        got = decoder.viterbi(decoder.lattice(word))
+        ways = (sum(cost for _, cost in path) for path in itertools.product(*options) if "".join(x for x, _ in path) == got)
+        assert abs(max(ways) + score(got) - best) < 1e-4, word
+
+
+@pytest.mark.parametrize("toxic,clean", [(1, 1), (4, 4), (2, 0), (0, 3), (8, 2)])
+def test_toxicity_with_few_labels_condemns_nothing_without_evidence(spark, toxic, clean):
+    docs = spark.createDataFrame([(i, prose(i, 25)) for i in range(60)] + [(100, None)], "doc_id long, text string").withColumn("evidence", F.lit("mine"))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, 0, int(k < toxic)) for k, i in enumerate(ids[: toxic + clean])], "doc_id long, quality int, toxic int")
+    out = toxicity.score(docs, toxicity.train(docs, labels))
+    assert out.where("score >= 0.5").count() == 0 and out.where("evidence = 'mine'").count() == 61
+
+
+def block(kind: str, body: bytes, **fields: str) -> bytes:
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+    return gzip.compress(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{kind}>\r\nContent-Length: {len(body)}\r\n{head}\r\n".encode() + body + b"\r\n\r\n")
+
+
+def test_warc_records_of_any_type():
+    long = "http://a/" + "x" * 1_200_000
+    kinds = [("warcinfo", b"software: x\r\n", {"Content_Type": "application/warc-fields"}), ("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", {"Content_Type": "application/http; msgtype=request"})]
+    kinds += [("resource", b"plain", {}), ("metadata", b"", {}), ("resource", b"\r\n\r\n" * 9, {"WARC_Target_URI": long}), ("response", b"no http", {"Content_Type": "text/dns"}), ("continuation", b"\0" * 70_000, {})]
+    data = b"".join(block(k, b, **f) for k, b, f in kinds) + warc.record(1, "http://b/" + "é" * 400_000, b"body", warc.bare_digest(b"body"))
+    for size in (1, 3, 1000, len(data)) if len(data) < 10**5 else (1000, len(data)):
+        got = list(warc.members((data[i : i + size] for i in range(0, len(data), size)), with_payload=True))
+        assert [(r["record_type"], r["payload"]) for r in got] == [(k, b) for k, b, _ in kinds] + [("response", b"body")]
+        assert all(r["verified"] for r in got) and got[4]["target_uri"] == long and got[0]["payload_digest"] == warc.bare_digest(kinds[0][1])
+    for size in (1, 2, 5):
+        short = block("resource", b"plain")
+        assert [r["payload"] for r in warc.members((short[i : i + size] for i in range(0, len(short), size)), with_payload=True)] == [b"plain"]
+    for bad in (block("response", b"HTTP/1.1 200 OK\r\nno end", Content_Type="application/http"), gzip.compress(b"WARC/1.1\r\nWARC-Type: x\r\n\r\n\r\n\r\n"), block("resource", b"x" * 9)[:-12]):
+        with pytest.raises((warc.Damaged, zlib.error)):
+            list(warc.members([bad]))
+
+
+def test_warc_revisits_are_checked_against_what_they_refer_to(spark):
+    body = b"same"
+    good = warc.record(1, "u", body, warc.bare_digest(body)) + warc.record(2, "u", body, warc.bare_digest(body), refers_to=1)
+    bad = warc.record(3, "u", body, warc.bare_digest(b"other"), refers_to=1) + warc.record(4, "u", body, warc.bare_digest(body), refers_to=9)
+    segments = spark.createDataFrame([("a", 0, bytearray(good)), ("b", 0, bytearray(bad))], warc.SEGMENTS)
+    assert {r["record_id"]: r["verified"] for r in warc.read_archives(segments).collect()} == {f"<urn:page:{n}>": n < 3 for n in (1, 2, 3, 4)}
+
+
+def test_automaton_batches_bound_memory(spark):
+    """A benchmark of many words: built in tasks, small as arrays, and whole over several batches."""
+    rng = random.Random(9)
+    words = [f"t{rng.randrange(3000)}" for _ in range(60_000)]
+    auto = decontaminate.Automaton([("a", [w.encode() for w in words])])
+    assert len(pickle.dumps(auto)) < 60 * len(words)
+    items = spark.createDataFrame([(i, " ".join(words[i * 60 : i * 60 + 60])) for i in range(1000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(i, 5) + " " + " ".join(words[i * 977 : i * 977 + 14]) + " end") for i in range(60)], "doc_id long, text string").withColumns({"found": F.lit(1), "id": F.lit(2)})
+    one = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, items, max_coverage=1.0).collect()}
+    table, batches = decontaminate.automata(items, 10, "item_id", "text", 9000)
+    assert batches == 7 and table.count() == 7
+    many = decontaminate.decontaminate(docs, items, max_coverage=1.0, batch_words=9000)
+    assert {r["doc_id"]: r["text"] for r in many.collect()} == one and many.columns == docs.columns
+    assert sum(one[i] != r for i, r in docs.select("doc_id", "text").collect()) > 40
+
+
+def test_no_words_condemn_no_document(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "..."), (None, "a b")], "item_id long, text string")
+    assert decontaminate.find_items(docs, items).where("found.n_hit = 0").count() == 2
+
+
+def test_packing_in_any_memory():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, rng = packing.Encoder(path), random.Random(3)
+    encode.known = Recent(5)
+    whole = encode.tokenizer
+    for _ in range(150):
+        text = " ".join(rng.choice(["The", "the", "THE,", "Zürich", "ZÜRICH.", "J̌", "ǰ", "İ", "1,2", "...", "x" * 80, "K", "\x85a", "ΑΣ"]) for _ in range(rng.randrange(1, 12)))
+        assert np.frombuffer(encode.of(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
