@@ -1,8 +1,8 @@
 """From raw documents to packed sequences: toxicity, near-duplicates, benchmark passages, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and gives the documents it keeps, with the columns they came
-with; the last gives the packed pieces. Rows without an id or a text pass the filters: nothing speaks
-against them."""
+with, whatever their names; the last gives the packed pieces with their tokens. Rows without an id or a
+text pass the filters: nothing speaks against them."""
 
 from __future__ import annotations
 
@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import decontaminate, near_dups, packing, toxicity
-from quadloom.llm.common import read_table, stored
+from quadloom.llm.common import free_name, read_table, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model, name="_score").where(F.col("_score") < 0.5).select(*docs.columns)
+    score = free_name(docs, "score")
+    return toxicity.score(docs, model, name=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096)
+    """Pieces of at most 4096 tokens, each with its place in a sequence and its ids (little-endian, 32 bits)."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, with_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dups", drop_near_duplicates), ("decontaminate", cut_benchmark), ("packing", pack)]
