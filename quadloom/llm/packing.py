@@ -30,6 +30,8 @@ END_ID = 1
 #: Encoded words that a worker remembers in each of two generations, and the longest of them.
 REMEMBERED = 300_000
 LONGEST_KEY = 64
+#: Bytes of ids that a task holds before it sends them on.
+SENT = 1 << 22
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -126,7 +128,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, key: str, text: str, w
                     length = len(own) // 4
                     rows.append((doc, n, at // 4, length, zlib.crc32(own), part, seen[length]) + (own,) * with_ids)
                     seen[length] += 1
-                if with_ids and size > 1 << 25:
+                if with_ids and size > SENT:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, size = [], 0
             if rows:
