@@ -14,8 +14,18 @@ from quadloom.llm import decontaminate, near_dups, packing, toxicity
 from quadloom.llm.common import free_name, read_table, stored
 
 
+#: Documents that Spark and its Python workers exchange at a time. Both sides hold a batch, of texts of some
+#: kilobytes each, so Spark's 10,000 would take a fifth of an executor's memory.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half."""
+    small_batches(spark)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     score = free_name(docs, "score")
     return toxicity.score(docs, model, name=score).where(F.col(score) < 0.5).select(*docs.columns)
@@ -23,16 +33,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group: five words a shingle, similarity 0.8."""
+    small_batches(spark)
     return near_dups.drop_near_duplicates(docs, width=5, percent=80).select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of benchmark items; what is mostly such passages goes."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens, each with its place in a sequence and its ids (little-endian, 32 bits)."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, with_ids=True)
 
 
