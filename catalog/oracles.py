@@ -302,6 +302,15 @@ add("channel_routing stream_channels batch_channels_from_text",
     union(*event("NOT inp", **_k), *marked("inp", **_k),
           tr("rt", "iri", "e", TYPE, "iri", f"'{S}' || et", where="inp AND NOT outp", m="rm", extra=", sink"),
           tr("rt", "iri", "e", D + "label", "lit", "upper(et)", q(STR), where="inp AND outp", m="rm", extra=", sink")), EV, CH)
+_k = dict(m="m", src="rt", extra=f", rm, sink, '{PAYLOAD}' AS g")
+_chains = union(
+    tr("rt", "iri", "e", S + "epoch", "lit", "CAST(ep AS VARCHAR)", q(INT), extra=", rm, sink, '' AS g"),
+    *event("NOT inp", **_k), *marked("inp", **_k),
+    tr("rt", "iri", "e", TYPE, "iri", f"'{S}' || et", where="inp AND NOT outp", m="m", extra=_k["extra"]),
+    tr("rt", "iri", "e", D + "label", "lit", "upper(et)", q(STR), where="inp AND outp", m="m", extra=_k["extra"]))
+add("channel_chains", f"SELECT rm AS msg_id, g, sink, s_kind, s_value, p, o_kind, o_value, o_dt, o_lang FROM ({_chains})", EV, CH)
+add("channel_chain_counts", """SELECT et AS topic, count(*) * any_value(n) AS n_translations, count(*) AS n_messages
+FROM ev JOIN (SELECT topic, count(DISTINCT (inp, outp)) AS n FROM ch GROUP BY topic) ON et = topic GROUP BY et""", EV, CH)
 add("channel_empty_payload", "SELECT m AS msg_id, 0 AS n_triples, 1 AS n_meta FROM ev", EV)
 
 # --- messages ----------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from quadloom import lift, vocab as V
 from quadloom.functions import registry as FN
 from quadloom.lift import SRC as S
 from quadloom.operators import jsonld as J, payload as P, quality as Q, registry as G, relational as R
-from quadloom.operators import routing, translate as TR
+from quadloom.operators import chains, routing, translate as TR
 from quadloom.plans.lineage import cut_lineage, ensure_checkpoint_dir
 from quadloom.plans.rules import Program, Step, compile_cell, compile_program, pattern as t
 from quadloom.sources import rule_documents as RD, rule_tables as RT, topics
@@ -372,6 +372,21 @@ def _(spark, sf):
     return flat(to_long(done, "sink").where(F.col("g") == V.PAYLOAD_GRAPH), "sink")
 
 
+@query("channel_chains")
+def _(spark, sf):
+    """Whole graphs for all channels, each distinct chain translated once a message."""
+    msgs = event_msgs(spark, sf).join(C.raw_messages(spark, sf).select("msg_id", "topic"), "msg_id")
+    return flat(to_long(chains.apply_channels(msgs, C.channels(spark, sf), BOOK), "sink"), "g", "sink")
+
+
+@query("channel_chain_counts")
+def _(spark, sf):
+    """Translations made for each topic: as many a message as there are distinct chains."""
+    msgs = event_msgs(spark, sf).join(C.raw_messages(spark, sf).select("msg_id", "topic"), "msg_id")
+    done = chains.translate_by_chains(msgs, C.channels(spark, sf), BOOK)
+    return done.groupBy("topic").agg(F.count("*").alias("n_translations"), F.count_distinct("msg_id").alias("n_messages"))
+
+
 @query("channel_empty_payload")
 def _(spark, sf):
     """Messages that lose all triples are still messages."""
