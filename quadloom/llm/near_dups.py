@@ -11,7 +11,7 @@ collections that another node shares. A bucket is never turned into all its pair
 
 * every member is compared with the bucket's leader, the member that agrees most with others, so a
   group of copies hangs on its original after one comparison each;
-* then only buckets whose other members lie in different components go on. Small ones (BLOCK members)
+* then only buckets whose other members lie in different components go on. Small ones (``block`` members, BLOCK if not given)
   verify the pairs that no component joins yet. Larger ones are united where they share members, which
   gives families of texts made from one another; the sets of a family are dealt out in pairs of blocks of
   BLOCK_SHINGLES, and a block finds the similar sets of different components through an index of its
@@ -110,7 +110,7 @@ def alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def find_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections: int = COLLECTIONS, per: int = PER_COLLECTION, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections: int = COLLECTIONS, per: int = PER_COLLECTION, key: str = "doc_id", text: str = "text", block: int | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row: similarity is at least ``percent`` / 100."""
     signed = docs.select(F.col(key).cast("long").alias("id"), signatures(width, collections, per)(utf8(text)).alias("s"))
     signed = stored(signed.select("id", "s.*"), "signatures")
@@ -120,7 +120,7 @@ def find_groups(docs: DataFrame, width: int = 5, percent: int = 80, collections:
     nodes = stored(nodes, "nodes")
     live = stored(shared_collections(nodes, per), "live")
     members = stored(bucket_members(live), "members")
-    links = bucket_links(docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("text")), members, width, percent)
+    links = bucket_links(docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("text")), members, width, percent, block or BLOCK)
     # rows of one id belong together, too
     same = usable.join(nodes.where("copies > 1").select("digest", F.col("id").alias("node")), "digest", "left").select("id", F.coalesce("node", "id").alias("node"))
     same = same.where("id <> node").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("c"))
@@ -151,7 +151,7 @@ def bucket_members(live: DataFrame) -> DataFrame:
     return rows.join(heads, "bucket")
 
 
-def bucket_links(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def bucket_links(texts: DataFrame, members: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Verified links that connect what the buckets can connect."""
     pairs = members.where(F.col("id") != F.col("leader")).where(alike(F.col("n"), F.col("leader_n"), percent))
     pairs = stored(ordered(pairs.select(F.col("leader").alias("x"), F.col("id").alias("y"))).distinct(), "pairs")
@@ -163,11 +163,11 @@ def bucket_links(texts: DataFrame, members: DataFrame, width: int, percent: int)
     rest = stored(rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rest")
     open_ = rest.groupBy("bucket").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     rest = stored(rest.join(stored(open_.select("bucket", "c"), "open"), "bucket"), "rest")
-    small = rest.where(F.col("c") <= BLOCK).groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "root")).alias("xs"))
+    small = rest.where(F.col("c") <= block).groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "root")).alias("xs"))
     more = small.select(F.explode(block_pairs(percent)).alias("p")).select("p.x", "p.y")
     more = stored(ordered(more).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.union(verified(more, wanted, percent))
-    large = rest.where(F.col("c") > BLOCK)
+    large = rest.where(F.col("c") > block)
     return links if large.isEmpty() else links.union(family_links(large, wanted, percent))
 
 
@@ -232,9 +232,9 @@ def verified(pairs: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     return joined.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: int | None = None) -> DataFrame:
     """One document of each group, the one with the smallest id; of repeated rows of it, one."""
-    groups = stored(find_groups(docs, width, percent), "groups")
+    groups = stored(find_groups(docs, width, percent, block=block), "groups")
     out = docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
     twice = stored(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
