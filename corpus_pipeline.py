@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group: five words a shingle, similarity 0.8."""
     small_batches(spark)
-    return near_dups.drop_near_duplicates(docs, width=5, percent=80).select(*docs.columns)
+    return near_dups.drop_near_duplicates(docs, width=5, percent=80, block=16).select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
