@@ -24,8 +24,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +70,11 @@ def shared_end(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -
     if a0 >= a1 or b0 >= b1:
         return None
     middle = (a0 + a1 - 1) // 2
-    for step in range(max(middle - a0, a1 - 1 - middle) + 1):
-        for i in {middle - step, middle + step}:
+    j = bisect_left(b, a[middle], b0, b1)
+    if j < b1 and b[j] == a[middle]:
+        return middle, j
+    for step in range(1, max(middle - a0, a1 - 1 - middle) + 1):
+        for i in (middle - step, middle + step):
             if a0 <= i < a1:
                 j = bisect_left(b, a[i], b0, b1)
                 if j < b1 and b[j] == a[i]:
@@ -107,6 +112,8 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_b = len(pieces)
         self.kind = np.dtype("<u4") if len(self.bytes_a) * self.size_b <= 1 << 32 else np.dtype("<u8")
+        self.code = "I" if self.kind.itemsize == 4 else "Q"
+        self.sizes_a, self.sizes_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
         self.known = Recent(REMEMBERED)
 
     def ids(self, text: str) -> tuple[list[int], list[int]]:
@@ -116,24 +123,27 @@ class Pair:
 
     def align(self, ids_a: list[int], ids_b: list[int]) -> tuple:
         """Groups as text, their number, tokens of both, links, and each pair of ids with its links."""
-        groups = [(ids_a, ids_b)] if len(ids_a) == 1 or len(ids_b) == 1 else []
-        if not groups:
-            ends = [np.cumsum([len(own[i]) for i in ids]).tolist() for own, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
-            groups = [(ids_a[a0:a1], ids_b[b0:b1]) for a0, a1, b0, b1 in divide(*ends)]
-        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-        links: Counter = Counter()
+        if len(ids_a) == 1 or len(ids_b) == 1:
+            groups = [(ids_a, ids_b)]
+        else:
+            a, b = list(accumulate(map(self.sizes_a.__getitem__, ids_a))), list(accumulate(map(self.sizes_b.__getitem__, ids_b)))
+            groups = [(ids_a[a0:a1], ids_b[b0:b1]) for a0, a1, b0, b1 in divide(a, b)]
+        text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
+        links: dict[int, int] = {}
         many = []
         for x, y in groups:
             if len(x) * len(y) <= 64:
                 for i in x:
+                    at = i * self.size_b
                     for j in y:
-                        links[i * self.size_b + j] += 1
+                        links[at + j] = links.get(at + j, 0) + 1
             else:
                 (u, n), (v, m) = (np.unique(np.array(z, np.int64), return_counts=True) for z in (x, y))
                 many.append(((u[:, None] * self.size_b + v).ravel(), (n[:, None] * m).ravel()))
+        if not many:
+            return text, len(groups), len(ids_a), len(ids_b), sum(links.values()), array(self.code, links).tobytes(), array("q", links.values()).tobytes(), len(links)
         keys, times = np.array(list(links.keys()), np.int64), np.array(list(links.values()), np.int64)
-        if many:
-            keys, times = add_up(np.concatenate([keys, *(k for k, _ in many)]), np.concatenate([times, *(n for _, n in many)]))
+        keys, times = add_up(np.concatenate([keys, *(k for k, _ in many)]), np.concatenate([times, *(n for _, n in many)]))
         return text, len(groups), len(ids_a), len(ids_b), int(times.sum()), keys.astype(self.kind).tobytes(), times.astype("<i8").tobytes(), len(keys)
 
     def one(self, part: str) -> tuple | None:
