@@ -65,6 +65,13 @@ class Recent:
             self.keep(key, got)
         return got
 
+    def find_all(self, keys) -> dict:
+        """What is kept under each of ``keys``, or None."""
+        got = dict(zip(keys, map(self.young.get, keys), strict=True))
+        for key in [k for k, x in got.items() if x is None]:
+            got[key] = self.find(key)
+        return got
+
     def keep(self, key, value) -> None:
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
