@@ -339,7 +339,15 @@ _nodes = (
     f"""{{"@id":"' || e || '","{S}observation":[{{"@id":"_:o"}}],"{S}user":[{{"@id":"' || u || '"}}],"{TYPE}":[{{"@id":"{S}' || et || '"}}]}}'"""
 )
 add("jsonld_write_payload", f"""SELECT m AS msg_id, '{{"@graph":[' || {_nodes} || ']}}' AS doc FROM ev""", EV)
-add("jsonld_write_quads", f"""SELECT m AS msg_id, '{{"@graph":[{{"@graph":[' || {_nodes} || '],"@id":"{PAYLOAD}"}}]}}' AS raw FROM ev""", EV)
+add("jsonld_write_quads jsonld_segments", f"""SELECT m AS msg_id, '{{"@graph":[{{"@graph":[' || {_nodes} || '],"@id":"{PAYLOAD}"}}]}}' AS raw FROM ev""", EV)
+add("jsonld_large_message", f"""SELECT m AS msg_id, row_number() OVER (PARTITION BY m ORDER BY part) - 1 AS piece, raw FROM (
+  SELECT m, part, string_agg(frag, '' ORDER BY rn) AS raw FROM (
+    SELECT m, rn, frag, coalesce(sum(strlen(frag)) OVER (PARTITION BY m ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 65536 AS part FROM (
+      SELECT m, rn, CASE WHEN rn = 1 THEN '{{"@graph":[' WHEN p = 'priority' THEN ']}},' ELSE '],' END || CASE WHEN p = 'priority' THEN '{{"@id":"' || s || '",' ELSE '' END
+          || '"{S}' || p || '":[{{"@value":"' || v || '"}}' || CASE WHEN rn = count(*) OVER (PARTITION BY m) THEN ']}}]}}' ELSE '' END AS frag FROM (
+        SELECT *, row_number() OVER (PARTITION BY m ORDER BY s, p) AS rn FROM (
+          SELECT o_orderstatus AS m, '{S}order/' || o_orderkey AS s, 'priority' AS p, o_orderpriority AS v FROM orders
+          UNION ALL SELECT o_orderstatus, '{S}order/' || o_orderkey, 'status', o_orderstatus FROM orders)))) GROUP BY m, part)""")
 add("stream_rejected_messages", "SELECT CAST(doc_id AS VARCHAR) AS msg_id, 'not json' AS bad, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents")
 add("message_size_limit", "SELECT CAST(doc_id AS VARCHAR) AS msg_id, strlen(text) <= 1024 AS fits FROM documents")
 add("bad_messages", "SELECT 'd' || doc_id AS msg_id, 'not json' AS bad FROM documents")

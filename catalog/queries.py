@@ -13,12 +13,12 @@ from quadloom import lift, vocab as V
 from quadloom.functions import registry as FN
 from quadloom.lift import SRC as S
 from quadloom.operators import jsonld as J, payload as P, quality as Q, registry as G, relational as R
-from quadloom.operators import chains, routing, translate as TR
+from quadloom.operators import chains, routing, segments as SG, translate as TR
 from quadloom.plans.lineage import cut_lineage, ensure_checkpoint_dir
 from quadloom.plans.rules import Program, Step, compile_cell, compile_program, pattern as t
 from quadloom.sources import rule_documents as RD, rule_tables as RT, topics
 from quadloom.streaming.channels import run_stream_once, translate_stream
-from quadloom.terms import TERM_DDL, literal, to_long
+from quadloom.terms import TERM_DDL, iri, literal, to_long
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -432,6 +432,23 @@ def _(spark, sf):
     return docs.select("msg_id", "raw")
 
 
+@query("jsonld_segments")
+def _(spark, sf):
+    """Documents cut into several pieces each, and put together again."""
+    return SG.join_segments(SG.write_segments(P.payload(events(spark, sf)), piece_bytes=200))
+
+
+@query("jsonld_large_message")
+def _(spark, sf):
+    """All orders of a status are one message, far above what a row should hold."""
+    o = lift.read(spark, sf, "orders")
+    props = [F.struct(F.lit(S + p).alias("p"), literal(F.col(c)).alias("o")) for p, c in (("priority", "o_orderpriority"), ("status", "o_orderstatus"))]
+    name = iri(F.concat(F.lit(S + "order/"), "o_orderkey"))
+    nodes = o.select(F.col("o_orderstatus").alias("msg_id"), F.lit(V.DEFAULT_GRAPH).alias("g"), name.alias("s"), F.array(*props).alias("props"))
+    quads = nodes.select("msg_id", "g", "s", F.inline("props"))
+    return SG.write_segments(quads, piece_bytes=1 << 16)
+
+
 @query("jsonld_context_patch")
 def _(spark, sf):
     raw = C.raw_messages(spark, sf)
