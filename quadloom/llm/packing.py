@@ -27,8 +27,8 @@ from quadloom.llm.common import Recent, held, stored, utf8
 
 CAPACITY = 4096
 END_ID = 1
-#: Encoded words that a worker remembers in each of two generations, and the longest of them.
-REMEMBERED = 300_000
+#: Encoded words that a worker remembers in each of two generations (about 190 bytes a word), and the longest of them.
+REMEMBERED = 700_000
 LONGEST_KEY = 64
 #: Bytes of ids that a task holds before it sends them on.
 SENT = 1 << 22
@@ -43,11 +43,11 @@ class Encoder:
     a control string is encoded whole, since those are looked for before words. The tokenizer lowers letters, so
     words are remembered in lower case."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Recent(REMEMBERED)
+        self.known = Recent(remembered)
         self.control = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -108,14 +108,15 @@ class Encoder:
         return b"".join(got)
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int, key: str, text: str, with_ids: bool) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, capacity: int, key: str, text: str, with_ids: bool,
+               remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents, with the number of each among those of its length in its task."""
     end = np.array([END_ID], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * with_ids
 
     def cut(batches):
-        of = held(("packing", path), lambda: Encoder(path)).of
+        of = held(("packing", path, remembered), lambda: Encoder(path, remembered)).of
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
@@ -216,10 +217,11 @@ class Places:
         return seq, off
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False,
+         remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, if asked for, ``ids`` as
     little-endian 32-bit numbers, one row for each piece."""
-    pieces = stored(cut_pieces(docs, path, capacity, key, text, with_ids), "pieces")
+    pieces = stored(cut_pieces(docs, path, capacity, key, text, with_ids, remembered), "pieces")
     per_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = stored(per_task.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n"), "bases")
