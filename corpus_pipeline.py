@@ -17,6 +17,8 @@ from quadloom.llm.common import free_name, read_table, stored
 #: Documents that Spark and its Python workers exchange at a time. Both sides hold a batch, of texts of some
 #: kilobytes each, so Spark's 10,000 would take a fifth of an executor's memory.
 BATCH = 1000
+#: Words that a worker remembers while packing; fewer than packing alone would, since the heap is full by then.
+REMEMBERED = 300_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -46,7 +48,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens, each with its place in a sequence and its ids (little-endian, 32 bits)."""
     small_batches(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dups", drop_near_duplicates), ("decontaminate", cut_benchmark), ("packing", pack)]
