@@ -355,6 +355,9 @@ add("bad_messages", "SELECT 'd' || doc_id AS msg_id, 'not json' AS bad FROM docu
 # --- sinks -------------------------------------------------------------------------------------
 
 add("sink_rows", f"SELECT 'out/' || et AS topic, md5({raw()}) AS value FROM ev", EV)
+add("sink_topic_log", f"SELECT 'out/' || et AS topic, {raw()} AS value, md5(et) AS channel_uuid FROM ev", EV)
+add("sink_log_retained", f"""SELECT topic, value FROM (
+  SELECT 'out/' || et AS topic, {raw()} AS value, row_number() OVER (PARTITION BY et ORDER BY event_id % 4 DESC, event_id DESC) AS rn FROM ev) WHERE rn = 1""", EV)
 add("sink_retained_message", f"""SELECT sink, msg_id, md5(raw) AS raw FROM (
   SELECT 'out/' || et AS sink, m AS msg_id, {raw()} AS raw, row_number() OVER (PARTITION BY et ORDER BY ts DESC, event_id % 4 DESC, event_id DESC) AS rn FROM ev) WHERE rn = 1""", EV)
 add("monitoring_latency", "SELECT 'mon-' || md5(et) AS topic, (ep * 1000) || ';' || (ep * 1000 + event_id % 97) AS value FROM ev", EV)

@@ -16,7 +16,7 @@ from quadloom.operators import jsonld as J, payload as P, quality as Q, registry
 from quadloom.operators import chains, routing, segments as SG, translate as TR
 from quadloom.plans.lineage import cut_lineage, ensure_checkpoint_dir
 from quadloom.plans.rules import Program, Step, compile_cell, compile_program, pattern as t
-from quadloom.sources import rule_documents as RD, rule_tables as RT, topics
+from quadloom.sources import rule_documents as RD, rule_tables as RT, topic_log, topics
 from quadloom.streaming.channels import run_stream_once, translate_stream
 from quadloom.terms import TERM_DDL, iri, literal, to_long
 
@@ -483,6 +483,31 @@ def _(spark, sf):
     return topics.sink_rows(_documents(spark, sf).withColumn("raw", F.md5("raw")))
 
 
+def _published(spark, sf) -> DataFrame:
+    """Documents published to a topic log by a drained stream, in several batches, read back."""
+    work = f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    docs = _documents(spark, sf).select("sink", "raw", "channel_uuid", F.col("ingest_ts").cast("timestamp").alias("ingest_ts"), "src_offset")
+    docs.repartition(3).write.parquet(f"{work}/in")
+    topic_log.register(spark)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    sink = topic_log.log_rows(stream).writeStream.format(topic_log.FORMAT).option("path", f"{work}/log")
+    sink.option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    return topic_log.read_log(spark, f"{work}/log")
+
+
+@query("sink_topic_log")
+def _(spark, sf):
+    return _published(spark, sf).select("topic", "value", "channel_uuid")
+
+
+@query("sink_log_retained")
+def _(spark, sf):
+    """What each topic keeps, published in source order by four tasks a batch."""
+    work = f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    topic_log.append(_documents(spark, sf).withColumn("ingest_ts", F.col("ingest_ts").cast("timestamp")), work, "all", 0, parallelism=4)
+    return topic_log.retained(topic_log.read_log(spark, work)).select("topic", "value")
+
+
 @query("sink_retained_message")
 def _(spark, sf):
     return topics.latest_per_topic(_documents(spark, sf).withColumn("raw", F.md5("raw")))
