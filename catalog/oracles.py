@@ -352,6 +352,20 @@ add("stream_rejected_messages", "SELECT CAST(doc_id AS VARCHAR) AS msg_id, 'not
 add("message_size_limit", "SELECT CAST(doc_id AS VARCHAR) AS msg_id, strlen(text) <= 1024 AS fits FROM documents")
 add("bad_messages", "SELECT 'd' || doc_id AS msg_id, 'not json' AS bad FROM documents")
 
+_CELL = f"CASE WHEN l_linenumber % 2 = 1 THEN '{MARK}' ELSE '' END || 'c' || l_linenumber"
+_HAS = "SELECT 'A' || o_orderkey AS name, count(*) AS h, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1"
+_LINES = "SELECT 'A' || l_orderkey AS name, count(*) AS n FROM lineitem GROUP BY 1"
+_CELLS = f"""SELECT 'A' || l_orderkey AS name, {_CELL} AS cell_id, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS rel,
+  count(*) FILTER (WHERE l_tax = 0.08) AS lit, count(*) FILTER (WHERE l_discount = 0.1) AS pred FROM lineitem GROUP BY 1, 2"""
+_OWN = f"(SELECT name, coalesce(h, 0) AS h, coalesce(low, 0) AS low, coalesce(n, 0) AS n FROM ({_HAS}) FULL JOIN ({_LINES}) USING (name))"
+add("quality_constraints", " UNION ALL ".join(
+    f"SELECT name, '1' AS version, {cell} AS cell_id, '{rule}' AS rule, CAST({n} AS BIGINT) AS n FROM {src} WHERE {cond}"
+    for cell, rule, n, src, cond in [
+        ("CAST(NULL AS VARCHAR)", "one header", "h", _OWN, "h <> 1"), ("NULL", "source ontology", "low", _OWN, "low > 0"),
+        ("NULL", "steps", "n", _OWN, "n = 0"), ("NULL", "cells", "n", _OWN, "n = 0"),
+        ("cell_id", "one cell of an id", "n", f"({_CELLS})", "n > 1"), ("cell_id", "relation", "rel", f"({_CELLS})", "rel > 0"),
+        ("cell_id", "subject is a node", "lit", f"({_CELLS})", "lit > 0"), ("cell_id", "predicate is an IRI", "pred", f"({_CELLS})", "pred > 0")]))
+
 # --- sinks -------------------------------------------------------------------------------------
 
 add("sink_rows", f"SELECT 'out/' || et AS topic, md5({raw()}) AS value FROM ev", EV)

@@ -13,7 +13,7 @@ from quadloom import lift, vocab as V
 from quadloom.functions import registry as FN
 from quadloom.lift import SRC as S
 from quadloom.operators import jsonld as J, payload as P, quality as Q, registry as G, relational as R
-from quadloom.operators import chains, routing, segments as SG, translate as TR
+from quadloom.operators import chains, constraints, routing, segments as SG, translate as TR
 from quadloom.plans.lineage import cut_lineage, ensure_checkpoint_dir
 from quadloom.plans.rules import Program, Step, compile_cell, compile_program, pattern as t
 from quadloom.sources import rule_documents as RD, rule_tables as RT, topic_log, topics
@@ -642,6 +642,13 @@ for _name, _check in {
     query(_name)(lambda spark, sf, check=_check: _report(check(C.rule_corpus(spark, sf))))
 
 
+@query("quality_constraints")
+def _(spark, sf):
+    """Constraints held in a table, over the whole rule corpus."""
+    table = constraints.constraint_table(spark, constraints.CONFORMING)
+    return constraints.violations(C.rule_corpus(spark, sf), constraints.read_constraints(table))
+
+
 @query("quality_step_order")
 def _(spark, sf):
     return _report(Q.step_order(C.conversation_steps(spark, sf)))
