@@ -29,17 +29,30 @@ class Function:
 _FUNCTIONS: dict[str, Function] = {}
 
 
-def _key(name: str) -> str:
-    """Lookup key: prefixed casts by datatype, everything else by its local name."""
+#: Namespaces whose functions are the ones known by local name here. Fixed values.
+KNOWN_NAMESPACES = (V.SRIPAS, "http://www.w3.org/2005/xpath-functions#", "http://www.w3.org/ns/sparql#")
+
+
+#: Functions of rule libraries, which have no namespace that is fixed.
+ANY_NAMESPACE = ("UNIXEPOCHTOUTC",)
+
+
+def _key(name: str, given: bool = False) -> str:
+    """Lookup key: an IRI stands for itself, unless its namespace is a known one or, while it is looked up
+    and not registered, it names a library's function; everything else goes by its local name, whatever
+    its case or prefix."""
     full = V.expand(name.strip("<>"))
-    if full.startswith(V.XSD):
+    if full in ("+", "-", "*", "/"):
         return full
-    return re.split(r"[#/:.]", full)[-1].upper() if full not in ("+", "-", "*", "/") else full
+    local = re.split(r"[#/:.]", full)[-1].upper()
+    if "://" in full and not full.startswith(KNOWN_NAMESPACES):
+        return local if not given and full not in _FUNCTIONS and local in ANY_NAMESPACE else full
+    return local
 
 
 def register_function(name: str, builder: Callable[..., Column], arity: int | tuple[int, int | None]) -> None:
     low, high = (arity, arity) if isinstance(arity, int) else arity
-    _FUNCTIONS[_key(name)] = Function(builder, low, high)
+    _FUNCTIONS[_key(name, given=True)] = Function(builder, low, high)
 
 
 def check(name: str, n_args: int) -> None:

@@ -69,6 +69,17 @@ def test_registered_function_and_arity(spark):
         FN.check("unknown", 1)
 
 
+def test_functions_of_two_namespaces(spark):
+    one, two = "http://a.example/f#concat", "http://b.example/f#concat"
+    with pytest.raises(ValueError, match="unknown function"):
+        FN.check(one, 2)  # not the CONCAT of this library
+    FN.register_function(one, lambda x: FN.call("UCASE", [x]), 1)
+    FN.register_function(f"<{two}>", lambda x: FN.call("LCASE", [x]), 1)
+    calls = [(one, ["aB"]), (two, ["aB"]), ("concat", ["a", "B"]), ("http://www.w3.org/2005/xpath-functions#concat", ["a", "B"])]
+    row = spark.range(1).select(*[FN.call(n, [FN.literal(x) for x in args])["value"].alias(f"c{i}") for i, (n, args) in enumerate(calls)]).first()
+    assert list(row) == ["AB", "ab", "aB", "aB"]
+
+
 def test_random_and_time_functions_make_terms(spark):
     row = spark.range(1).select(*[FN.call(n, []).alias(n) for n in ("RAND", "NOW", "UUID", "STRUUID", "BNODE")]).first()
     assert row["RAND"]["dt"] == DBL and row["NOW"]["dt"] == DT and row["UUID"]["value"].startswith("urn:uuid:") and row["BNODE"]["kind"] == "bnode"
