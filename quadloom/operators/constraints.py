@@ -14,7 +14,8 @@ A constraint is a row ``rule, tbl, per, kind, col, arg, low, high, cond``:
 ``per`` is the owner, ``alignment`` or ``cell``; ``cond`` is an SQL condition that picks the rows to look at.
 Nulls and empty values violate ``required`` alone. An owner is whatever any row names, so a count of none is
 found also where the owner's own row is missing. Rows repeated are counted each. Every table is read once,
-rows are summed before they are shuffled, and nothing is gathered. Besides the rule tables there is
+rows are summed before they are shuffled, and nothing is gathered. A rule that rows violate is a row of its own there, so
+rows are as wide as one owner has counts, and not as there are constraints. Besides the rule tables there is
 ``cell_function_param``, a row for each parameter of a function.
 """
 
@@ -130,29 +131,44 @@ def violations(tables: dict[str, DataFrame], constraints: list[Constraint] | Non
         tables["cell_function_param"] = tables["cell_function"].select("name", "version", "cell_id", F.inline("params"))
     _checked(constraints, tables)
 
-    def of(tbl: str) -> DataFrame:
-        def owner(per: str) -> Column:
-            flags = [F.when(_bad(c), 1).otherwise(0).alias(f"c{i}") if (c.tbl, c.per) == (tbl, per) else F.lit(0).alias(f"c{i}") for i, c in enumerate(constraints)]
-            cell = F.col("cell_id") if per == "cell" else F.lit(None).cast("string")
-            return F.struct("name", "version", F.lit(per == "cell").alias("is_cell"), cell.alias("cell_id"), *flags)
-
-        owners = ["alignment"] if tbl in NO_OWN_CELL else ["alignment", "cell"]
-        return tables[tbl].select(F.inline(F.array(*[owner(p) for p in owners])))
-
+    counts = {per: [c for c in constraints if c.kind == "count" and c.per == per] for per in OWNERS}
+    single = [c for c in constraints if c.kind != "count"]
+    # one row of an owner holds the sums of all its counts, one row more those of each rule that rows violate
+    width = max(1, *[len(m) for m in counts.values()])
     # the tables that make an owner known, besides those with a constraint
     used = [t for t in tables if t in ("alignment", "cell") or any(c.tbl == t for c in constraints)]
-    rows = reduce(DataFrame.unionByName, [of(t) for t in used])
-    sums = rows.groupBy("name", "version", "is_cell", "cell_id").agg(
-        F.count("*").alias("rows"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(constraints))])
-
-    def finding(i: int, c: Constraint) -> Column:
-        n, own = F.col(f"c{i}"), F.col("is_cell") == F.lit(c.per == "cell")
-        if c.kind != "count":
-            wrong = n > 0
-        else:
-            wrong = (n < (c.low or 0)) | (n > c.high if c.high is not None else F.lit(False))
+
+    def of(tbl: str) -> DataFrame:
+        def row(per: str, at: int, sums: list[Column]) -> Column:
+            cell = F.col("cell_id") if per == "cell" else F.lit(None).cast("string")
+            sums = sums + [F.lit(0)] * (width - len(sums))
+            return F.struct(F.lit(per == "cell").alias("is_cell"), cell.alias("cell_id"), F.lit(at).alias("at"), *[x.alias(f"c{k}") for k, x in enumerate(sums)])
+
+        rows = [F.when(_bad(c), row(c.per, i, [F.lit(1)])) for i, c in enumerate(single) if c.tbl == tbl]
+        # a function's parameters name no owner that the function does not
+        implied = tbl == "cell_function_param" and "cell_function" in used
+        for per in OWNERS:
+            own = [F.when(_bad(c), 1).otherwise(0) if c.tbl == tbl else F.lit(0) for c in counts[per]]
+            if own and (per == "alignment" or tbl not in NO_OWN_CELL) and not (implied and all(c.tbl != tbl for c in counts[per])):
+                rows.append(row(per, -1, own))
+        if not rows:
+            return None
+        return tables[tbl].select("name", "version", F.inline(F.array_compact(F.array(*rows))))
+
+    every = [r for t in used if (r := of(t)) is not None]
+    if not every:
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("cell_id", "string"), ("rule", "string"), ("n", "bigint"))]
+        return tables["alignment"].select("name", "version", *none).limit(0)
+    sums = reduce(DataFrame.unionByName, every).groupBy("name", "version", "is_cell", "cell_id", "at").agg(
+        *[F.sum(f"c{k}").alias(f"c{k}") for k in range(width)])
+
+    def finding(per: str, k: int, c: Constraint) -> Column:
+        n = F.col(f"c{k}")
+        wrong = (n < (c.low or 0)) | (n > c.high if c.high is not None else F.lit(False))
+        own = (F.col("at") < 0) & (F.col("is_cell") == F.lit(per == "cell"))
         return F.when(own & wrong, F.struct(F.lit(c.rule).alias("rule"), n.alias("n")))
 
-    none = F.lit(None).cast("struct<rule:string,n:bigint>")
-    found = F.array_compact(F.array(none, *[finding(i, c) for i, c in enumerate(constraints)]))
+    rules = F.array(*[F.lit(c.rule) for c in single]) if single else F.array(F.lit(None).cast("string"))
+    violated = F.when(F.col("at") >= 0, F.struct(F.get(rules, F.col("at")).alias("rule"), F.col("c0").alias("n")))
+    found = F.array_compact(F.array(violated, *[finding(per, k, c) for per in OWNERS for k, c in enumerate(counts[per])]))
     return sums.select("name", "version", "cell_id", F.inline(found))

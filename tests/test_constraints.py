@@ -79,3 +79,9 @@ def test_malformed_constraints(spark, wrong):
 def test_one_shuffle(spark):
     plan = K.violations(C.rule_corpus(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_rows_are_as_wide_as_an_owner_has_counts(spark):
+    plan = K.violations(C.rule_corpus(spark, SF))._jdf.queryExecution().optimizedPlan()
+    keys = next(line for line in plan.toString().splitlines() if "Aggregate [" in line)
+    assert keys.count("sum(") == 3
