@@ -70,6 +70,52 @@ def exact_text(d: Column) -> Column:
     return let(d, text)
 
 
+#: Plain forms, and the digits that such operands have in all at most: then no result is past 38.
+PLAIN_DEC = r"^-?[0-9]+(\.[0-9]+)?\z"
+PLAIN_INT = r"^-?[0-9]+\z"
+PLAIN_DIVIDED = r"^-?[0-9]{1,12}(\.[0-9]{1,6})?\z"
+PLAIN_DIGITS = 36
+
+
+def plain(*args: Column, form: str = PLAIN_DEC) -> Column:
+    """Whether all operands are written plainly and short enough for ``plain_number``."""
+    short = reduce(lambda a, b: a + b, [F.length(a["value"]) for a in args]) <= PLAIN_DIGITS
+    return reduce(lambda a, b: a & b, [short, *[a["value"].rlike(form) for a in args]])
+
+
+def plain_number(t: Column) -> tuple[Column, Column]:
+    """Digits and scale of a plain operand, as ``exact`` gives them. Without lambdas, so that it is compiled
+    where it is not inside one; operands are named few times."""
+    v = t["value"]
+    return F.replace(v, F.lit("."), F.lit("")), F.greatest(F.length(v) - F.length(F.substring_index(v, ".", 1)) - 1, F.lit(0))
+
+
+def plain_text(n: Column, scale: Column) -> Column:
+    """Canonical text of a number of at most 38 digits and scale."""
+    padded = F.overlay(F.lpad(F.abs(n).cast("string"), 39, "0"), F.lit("."), F.lit(40) - scale, F.lit(0))
+    # "#" marks the ends, where a point gets its digit
+    marked = F.concat(F.lit("#"), F.trim(padded, F.lit("0")), F.lit("#"))
+    whole = F.replace(F.replace(marked, F.lit("#."), F.lit("0.")), F.lit(".#"), F.lit(".0"))
+    return F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")), F.trim(whole, F.lit("#")))
+
+
+def canonical(t: Column) -> Column:
+    """Canonical text of a plain operand."""
+    digits, scale = plain_number(t)
+    return plain_text(digits.try_cast(INT_T), scale)
+
+
+def plain_result(op: str, args: tuple[Column, ...]) -> Column:
+    """Sum, difference or product of plain operands, as text."""
+    numbers = [plain_number(a) for a in args]
+    if op == "*":
+        scale, raised = reduce(lambda a, b: a + b, [s for _, s in numbers]), [d for d, _ in numbers]
+    else:
+        scale = F.greatest(*[s for _, s in numbers])
+        raised = [F.concat(d, F.repeat(F.lit("0"), scale - s)) for d, s in numbers]
+    return plain_text(reduce(_TRY[op], [d.try_cast(INT_T) for d in raised]).try_cast(INT_T), scale)
+
+
 def _exactly(op: str):
     """Sum, difference or product of two exact numbers; past 38 digits ``n`` is NULL."""
 
@@ -146,11 +192,34 @@ _IEEE = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a *
 
 
 def infix(op: str):
-    """Left-associative n-ary arithmetic. Whole numbers divide as decimals."""
+    """Left-associative n-ary arithmetic. Whole numbers divide as decimals. Plain exact operands take a short
+    way; all others, with their arguments evaluated once, the general one."""
 
     def build(*args: Column) -> Column:
         if len(args) == 1:
             return F.when(rank(args[0]).isNotNull(), args[0])
+        every = lambda test: reduce(lambda a, b: a & b, [test(a) for a in args])
+        lit = every(lambda a: a["kind"] == "lit")
+        whole = lit & every(lambda a: a["dt"].isin(*V.INTEGER_TYPES))
+        exactly = lit & every(lambda a: a["dt"].isin(V.DECIMAL, *V.INTEGER_TYPES))
+        once = let(F.struct(*[a.alias(f"a{i}") for i, a in enumerate(args)]), lambda x: general(*[x[f"a{i}"] for i in range(len(args))]))
+        rest = F.when(every(lambda a: rank(a).isNotNull()), once)
+        if op == "/":
+            if len(args) > 2:
+                return rest
+            quotient = _divided(*[a["value"].try_cast(DEC_T) for a in args])
+            fast = checked(quotient, literal(dec_text(quotient), V.DECIMAL))
+            return F.when(exactly & plain(*args, form=PLAIN_DIVIDED), fast).otherwise(rest)
+        if len(args) > 9:  # carries
+            return rest
+        ints = reduce(_TRY[op], [a["value"].try_cast(INT_T) for a in args]).cast("string")
+        return (
+            F.when(exactly & ~whole & plain(*args), literal(plain_result(op, args), V.DECIMAL))
+            .when(whole & plain(*args, form=PLAIN_INT), literal(ints, V.INTEGER))
+            .otherwise(rest)
+        )
+
+    def general(*args: Column) -> Column:
         ranks = F.array(*[rank(a) for a in args])
         lowest = F.lit(DEC if op == "/" else INT)
         family = let(ranks, lambda r: F.when(~F.exists(r, lambda x: x.isNull()), F.greatest(F.array_max(r), lowest)))
@@ -185,10 +254,15 @@ def _ieee_divide(a: Column, b: Column) -> Column:
 def rounding(on_int, on_dec, on_dbl):
     """Unary function that keeps the family of its argument; ``on_dec`` takes and gives text."""
 
-    def build(t: Column) -> Column:
+    def general(t: Column) -> Column:
         r = rank(t)
         return number(r, on_int(as_int(t)), let(exact_text(exact(t)), on_dec), on_dbl(as_dbl(t)))
 
+    def build(t: Column) -> Column:
+        text = on_dec(canonical(t))
+        fast = (t["kind"] == "lit") & (t["dt"] == V.DECIMAL) & plain(t)
+        return F.when(fast, literal(text, V.DECIMAL)).otherwise(let(t, general))
+
     return build
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, functions as F
 
 from quadloom import vocab as V
 from quadloom.functions import numbers as N
-from quadloom.terms import bnode, checked, iri, literal, make_term, same_term
+from quadloom.terms import bnode, checked, iri, let, literal, make_term, same_term
 
 
 @dataclass(frozen=True)
@@ -345,6 +345,11 @@ def _castable(t: Column) -> Column:
 
 
 def _cast_decimal(t: Column) -> Column:
+    fast = (t["kind"] == "lit") & (t["dt"] == V.DECIMAL) & N.plain(t)
+    return F.when(fast, literal(N.canonical(t), V.DECIMAL)).otherwise(let(t, _cast_any_decimal))
+
+
+def _cast_any_decimal(t: Column) -> Column:
     number = F.coalesce(N.exact_text(N.exact(t)), F.when(~is_string(t), N.dec_text(N.as_dbl(t).try_cast(N.WIDE_T))))
     text = F.when(_bool(t).isNotNull(), F.concat(_bool(t).cast("int").cast("string"), F.lit(".0"))).when(_castable(t), number)
     return checked(text, literal(text, V.DECIMAL))

@@ -23,17 +23,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """Deal the rows of a table out for row-local work where its files do not: a file of few row groups
     is read by few tasks, however many splits it is cut into. Tasks take ``ROWS_A_TASK`` rows at most, and
-    all cores have some. Rows are counted from the footers; inputs that are dealt out so stay as they are."""
+    all cores have some. Rows are counted from the footers; inputs that are dealt out so stay as they are.
+    Dealt out by the columns ``by``, if given: rows equal in them meet in one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     sizes = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n"), F.count("*")).first()
     largest, rows, used = (x or 0 for x in sizes)
     if largest <= ROWS_A_TASK and used >= min(cores, rows):
         return df
     # by hash, as dealing in turn sorts whatever one task has read
-    return df.repartition(max(cores, -(-rows // ROWS_A_TASK)), *df.columns)
+    return df.repartition(max(cores, -(-rows // ROWS_A_TASK)), *(by or df.columns))
 
 
 def text(col: Column) -> Column:

@@ -92,3 +92,50 @@ def test_malformed_patterns_do_not_fail_the_query(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "("), (3, None)], "k int, p string").select(
         "k", FN.call("REGEX", [FN.literal("abc"), FN.safe_pattern(FN.literal(F.col("p")))])["value"].alias("r"))
     assert dict(map(tuple, rows.collect())) == {1: "true", 2: None, 3: None}
+
+
+def test_plain_numbers_give_what_the_general_way_gives(spark):
+    """Operands from data, written plainly (one short way) and otherwise, against exact numbers."""
+    from decimal import Decimal, localcontext
+
+    plain = ["0", "-0", "7", "-7", "007", "0.5", "-0.05", "10.10", "0.00000001", "123456789012.123456", "99999999999999999999.5"]
+    odd = [" 7", "+7", ".5", "5.", "1.0\n", "0" * 40 + "1.5", "x", "1.2.3", "", "--1", ".", "1.5x"]
+    good = {v: Decimal(v.strip()) for v in plain + odd[:6]}
+    rows = [(a, b, t, u) for a in plain + odd for b in ["3", "-0.25", "+1.5", "y"] for t in (I, D) for u in (I, D)]
+    df = spark.createDataFrame(rows, "a string, b string, t string, u string")
+    a, b = FN.literal(F.col("a"), F.col("t")), FN.literal(F.col("b"), F.col("u"))
+    calls = {"+": [a, b], "-": [a, b], "*": [a, b], "ABS": [a], "xsd:decimal": [a]}
+    got = df.select("*", *[FN.call(n, x).alias(n) for n, x in calls.items()]).collect()
+
+    def text(x, dt):
+        whole = x == x.to_integral_value()
+        return (str(int(x)) if dt == I else f"{int(x)}.0" if whole else f"{x:f}".rstrip("0"), dt)
+
+    assert len(got) == len(rows)
+    with localcontext(prec=100):
+        for r in got:
+            x, y = good.get(r["a"]), {"3": Decimal(3), "-0.25": Decimal("-0.25"), "+1.5": Decimal("1.5")}.get(r["b"])
+            both = I if r["t"] == r["u"] == I else D
+            whole = both == D or not any("." in v for v in (r["a"], r["b"]))
+            for n in ("+", "-", "*"):
+                want = None if x is None or y is None or not whole else text({"+": x + y, "-": x - y, "*": x * y}[n], both)
+                assert (r[n] and (r[n]["value"], r[n]["dt"])) == want, (n, r)
+            mine = x is not None and (r["t"] == D or "." not in r["a"])
+            assert (r["ABS"] and (r["ABS"]["value"], r["ABS"]["dt"])) == (text(abs(x), r["t"]) if mine else None), r
+            if r["t"] == D:
+                assert (r["xsd:decimal"] and r["xsd:decimal"]["value"]) == (text(x, D)[0] if x is not None else None), r
+
+
+def test_lines_are_shuffled_once_before_they_are_computed(spark, tmp_path):
+    import datetime
+
+    from __spark_entry__ import queries
+
+    day = datetime.datetime(1996, 9, 13)
+    row = (1, 2, 3, 4, 17.0, 84197.04, 0.01, 0.02, "N", "O", day)
+    ddl = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame([row, row, (2, *row[1:])], ddl).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("functions_arithmetic", "functions_exact_decimals"):
+        out = queries()[name](spark, str(tmp_path))
+        assert out.count() == 2
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
