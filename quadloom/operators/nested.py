@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quadloom.operators import bindings as B
 from quadloom.plans.rules import Bind, CellPlan, Group, Pattern, Program
-from quadloom.terms import barrier, let, same_term, triple
+from quadloom.terms import barrier, except_triples, let, same_term, triple
 
 
 def _names(variables) -> dict[str, str]:
@@ -129,10 +129,10 @@ def apply_cell(
         return msgs
     new = F.col("triples")
     if deleted:
-        new = F.array_except(new, _concat(deleted))
+        new = except_triples(new, _concat(deleted))
     if inserted:
         made = _concat(inserted)
-        new = let(new, lambda kept: F.concat(kept, F.array_except(made, kept)))
+        new = let(new, lambda kept: F.concat(kept, except_triples(made, kept)))
     # A rule holds as a whole: every group needs a solution.
     fires = reduce(lambda a, b: a & b, [F.size(rows) > 0 for rows, _, _ in parts])
     if guard is not None:

@@ -67,6 +67,35 @@ def same_term(a: Column, b: Column) -> Column:
     )
 
 
+def same_triple(a: Column, b: Column) -> Column:
+    """Field-wise equality of triples, most selective fields first; absent fields equal each other."""
+    fields = [("o", "value"), ("s", "value"), ("p",), *[(c, f) for c in ("o", "s") for f in ("kind", "dt", "lang")]]
+    cond = F.lit(True)
+    for slot, *rest in fields:
+        x, y = a[slot], b[slot]
+        for f in rest:
+            x, y = x[f], y[f]
+        cond = cond & x.eqNullSafe(y)
+    return cond & (a["s"].isNull() == b["s"].isNull()) & (a["o"].isNull() == b["o"].isNull())
+
+
+def distinct_triples(triples: Column) -> Column:
+    """Each triple once, in order. Equal triples have equal hashes of their values, so where all of these differ
+    nothing is compared: Spark compares nested structs by an ordering that it builds again for each pair."""
+
+    def distinct(all_: Column) -> Column:
+        hashes = F.array_distinct(F.transform(all_, lambda t: F.xxhash64(t["p"], t["s"]["value"], t["o"]["value"])))
+        return F.when(F.size(hashes) == F.size(all_), all_).otherwise(F.array_distinct(all_))
+
+    return let(triples, distinct)
+
+
+def except_triples(triples: Column, others: Column) -> Column:
+    """Distinct triples that are not among ``others``, in order: ``array_except``, comparing fields."""
+    sides = F.struct(distinct_triples(triples).alias("a"), others.alias("b"))
+    return let(sides, lambda x: F.filter(x["a"], lambda t: ~F.exists(x["b"], lambda u: same_triple(t, u))))
+
+
 def flatten_terms(df: DataFrame, *columns: str) -> DataFrame:
     """Replace each term column ``c`` by ``c_kind, c_value, c_dt, c_lang``."""
     out = []
