@@ -15,6 +15,8 @@ from quadloom import vocab as V
 KEY = ["name", "version"]
 CELL = [*KEY, "cell_id"]
 CHANNEL_TYPES = ("MM", "KK")
+#: How a cell mentions a variable.
+BOUND, IN_ENTITY2, IN_PARAM = 1, 2, 4
 
 
 def normal_id(c: Column) -> Column:
@@ -44,8 +46,8 @@ def _slot_var(slot: str) -> Column:
 
 def pattern_variables(cell_pattern: DataFrame, side: int) -> DataFrame:
     """``name, version, cell_id, var`` of one entity, distinct."""
-    found = F.array_compact(F.array(_slot_var("s"), _marker(F.col("p")), _slot_var("o")))
-    return cell_pattern.where(F.col("side") == side).select(*CELL, F.explode(found).alias("var")).distinct()
+    found = F.array(_slot_var("s"), _marker(F.col("p")), _slot_var("o"))
+    return cell_pattern.where(F.col("side") == side).select(*CELL, F.explode(found).alias("var")).where("var is not null").distinct()
 
 
 def return_variables(cell_function: DataFrame) -> DataFrame:
@@ -61,25 +63,49 @@ def bound_variables(tables: dict[str, DataFrame]) -> DataFrame:
     return pattern_variables(tables["cell_pattern"], 1).unionByName(return_variables(tables["cell_function"])).distinct()
 
 
+def _cell_counts(cell: DataFrame) -> DataFrame:
+    return cell.groupBy(*KEY, normal_id(F.col("cell_id")).alias("cell_id")).agg(F.count("*").alias("n"))
+
+
 def duplicate_cells(cell: DataFrame) -> DataFrame:
-    counts = cell.groupBy(*KEY, normal_id(F.col("cell_id")).alias("cell_id")).agg(F.count("*").alias("n"))
-    return _finding(counts.where("n > 1"), "cell id not unique", F.col("n").cast("string"))
+    return _finding(_cell_counts(cell).where("n > 1"), "cell id not unique", F.col("n").cast("string"))
 
 
 def missing_step_cells(steps: DataFrame, cell: DataFrame) -> DataFrame:
-    ids = cell.select(*KEY, normal_id(F.col("cell_id")).alias("cell_id")).distinct()
+    # counted as for duplicates, so that one shuffle serves both
+    ids = _cell_counts(cell).where("n > 0")
     bad = steps.withColumn("cell_id", normal_id(F.col("cell_id"))).join(ids, CELL, "left_anti")
     return _finding(bad, "step names a missing cell", F.col("ordinal").cast("string"))
 
 
+def unbound_variables(tables: dict[str, DataFrame]) -> DataFrame:
+    """Variables that entity 2 or a function parameter reads and nothing binds. Every mention of a variable in a
+    cell is one flagged row, and one grouped pass with map-side combine tells which are read only."""
+    found = F.array(_slot_var("s"), _marker(F.col("p")), _slot_var("o"))
+    side = F.when(F.col("side") == 1, BOUND).when(F.col("side") == 2, IN_ENTITY2)
+    patterns = tables["cell_pattern"].select(*CELL, F.explode(found).alias("var"), side.alias("flag")).where("var is not null and flag is not null")
+    calls = tables["cell_function"]
+    ret = calls.select(*CELL, var_name(F.col("ret")).alias("var"), F.lit(BOUND).alias("flag"))
+    params = calls.select(*CELL, F.explode("params").alias("prm")).where("prm.var is not null")
+    params = params.select(*CELL, var_name(F.col("prm.var")).alias("var"), F.lit(IN_PARAM).alias("flag"))
+    mentions = patterns.unionByName(ret).unionByName(params).groupBy(*CELL, "var").agg(F.bit_or("flag").alias("uses"))
+    # A cell without a complete name is no other's equal: nothing binds its variables.
+    named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*CELL, "var"]])
+    uses = F.col("uses")
+    rules = F.array(
+        F.when(uses.bitwiseAND(IN_ENTITY2) != 0, "unbound variable in entity 2"),
+        F.when(uses.bitwiseAND(IN_PARAM) != 0, "unbound function parameter"),
+    )
+    bad = mentions.where((uses.bitwiseAND(BOUND) == 0) | ~named)
+    return bad.select(*CELL, F.explode(rules).alias("rule"), F.col("var").alias("detail")).where("rule is not null")
+
+
 def unbound_entity2(tables: dict[str, DataFrame]) -> DataFrame:
-    bad = pattern_variables(tables["cell_pattern"], 2).join(bound_variables(tables), [*CELL, "var"], "left_anti")
-    return _finding(bad, "unbound variable in entity 2", F.col("var"))
+    return unbound_variables(tables).where(F.col("rule") == "unbound variable in entity 2")
 
 
 def unbound_params(tables: dict[str, DataFrame]) -> DataFrame:
-    bad = param_variables(tables["cell_function"]).join(bound_variables(tables), [*CELL, "var"], "left_anti")
-    return _finding(bad, "unbound function parameter", F.col("var"))
+    return unbound_variables(tables).where(F.col("rule") == "unbound function parameter")
 
 
 def step_order(steps: DataFrame) -> DataFrame:
@@ -129,19 +155,19 @@ def structure(tables: dict[str, DataFrame]) -> DataFrame:
         F.when(F.col("st") == 0, "no steps"),
         F.when(F.col("c") == 0, "no cells"),
     )
-    header = counts.select(*KEY, F.explode(F.array_compact(checks)).alias("detail"))
+    header = counts.select(*KEY, F.explode(checks).alias("detail")).where("detail is not null")
     header = _finding(header, "structure", F.col("detail"), cell=False)
 
     sides = tables["cell_pattern"].groupBy(*CELL).agg(F.max((F.col("side") == 1).cast("int")).alias("e1"), F.max((F.col("side") == 2).cast("int")).alias("e2"))
     cells = tables["cell"].join(sides, CELL, "left").select(
         *CELL,
-        F.explode(F.array_compact(F.array(
+        F.explode(F.array(
             F.when(F.coalesce("e1", F.lit(0)) == 0, "entity 1 is empty"),
             F.when(F.coalesce("e2", F.lit(0)) == 0, "entity 2 is empty"),
             F.when(F.coalesce("relation", F.lit("")) == "", "no relation"),
             F.when(F.col("cell_id") == "", "no cell id"),
-        ))).alias("detail"),
-    )
+        )).alias("detail"),
+    ).where("detail is not null")
     return header.unionByName(_finding(cells, "structure", F.col("detail")))
 
 
@@ -152,8 +178,7 @@ def quality_report(tables: dict[str, DataFrame]) -> DataFrame:
         [
             duplicate_cells(tables["cell"]),
             missing_step_cells(tables["alignment_step"], tables["cell"]),
-            unbound_entity2(tables),
-            unbound_params(tables),
+            unbound_variables(tables),
             step_order(tables["alignment_step"]),
             malformed_entities(tables),
             structure(tables),

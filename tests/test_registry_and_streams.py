@@ -36,6 +36,29 @@ def test_two_different_uploads_under_one_key(spark):
     assert got == ["conflict", "created"]
 
 
+def test_unbound_variables_in_one_grouped_pass(spark):
+    """Read but not bound, once a variable; a cell without a complete name binds nothing, as no key equals null."""
+    term = "struct<kind:string,value:string,dt:string,lang:string>"
+    slot = f"struct<is_var:boolean,term:{term}>"
+    v = lambda name: (True, ("iri", name, "", ""))
+    rows = [("A", "1", "c", 1, v("a"), "p", v("b")), ("A", "1", "c", 2, v("a"), "p", v("w")), ("A", "1", "c", 2, v("a"), "p", v("x")),
+            ("A", "1", "c", 2, v("x"), "p", v("z")), ("A", "1", None, 1, v("a"), "p", v("a")), ("A", "1", None, 2, v("a"), "p", v("a")),
+            ("B", "1", "c", 2, v("b"), "p", v("b")), ("B", "1", "c", 3, v("b"), "p", v("b"))]
+    calls = [("A", "1", "c", "w", [("b",), ("y",), ("y",), ("x",), (None,)]), ("B", "1", "c", None, None)]
+    tables = {
+        "cell_pattern": spark.createDataFrame(rows, f"name string, version string, cell_id string, side int, s {slot}, p string, o {slot}"),
+        "cell_function": spark.createDataFrame(calls, "name string, version string, cell_id string, ret string, params array<struct<var:string>>"),
+    }
+    both = Q.unbound_variables(tables)
+    assert "Join" not in both._jdf.queryExecution().optimizedPlan().toString()
+    two, prm = "unbound variable in entity 2", "unbound function parameter"
+    want = [("A", "c", two, "x"), ("A", "c", two, "z"), ("A", None, two, "a"), ("B", "c", two, "b"), ("A", "c", prm, "x"), ("A", "c", prm, "y")]
+    got = [(r["name"], r["cell_id"], r["rule"], r["detail"]) for r in both.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    single = [tuple(r) for f in (Q.unbound_entity2, Q.unbound_params) for r in f(tables).select("name", "cell_id", "rule", "detail").collect()]
+    assert sorted(map(str, single)) == sorted(map(str, want))
+
+
 def test_document_to_running_rules(spark):
     tables = {k: v.cache() for k, v in RD.rule_tables(RD.parse_documents(C.rule_documents(spark, SF).limit(3))).items()}
     report = {r["rule"] for r in Q.quality_report(tables).collect()}
