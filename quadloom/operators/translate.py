@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from quadloom import vocab as V
 from quadloom.operators import nested, payload as P, relational
+from quadloom.plans.bits import key_bits, with_flags
 from quadloom.plans.lineage import cut_lineage
 from quadloom.plans.rules import Program, RuleBook
-from quadloom.terms import TRIPLE, empty_meta
+from quadloom.terms import TRIPLE, empty_meta, to_long
 
 #: Largest graph, in triples, that is rewritten inside its row.
 NESTED_LIMIT = 256
@@ -65,11 +66,17 @@ def translate_chain(msgs: DataFrame, book: RuleBook, keys, **options) -> DataFra
 def nest_quads(quads: DataFrame, limit: int = NESTED_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Split long quads by message size: nested rows for messages up to ``limit`` quads, and the
     long quads of the others. Sizes are counted with map-side combine, and only rows of messages
-    within the limit are gathered."""
+    within the limit are moved and gathered."""
+    quads = quads.where(F.col("msg_id").isNotNull())
     sizes = quads.groupBy("msg_id").agg(F.count("*").alias("n"))
-    small = quads.join(sizes.where(F.col("n") <= limit).select("msg_id"), "msg_id", "left_semi")
-    large = quads.join(sizes.where(F.col("n") > limit).select("msg_id"), "msg_id", "left_semi")
-    rows = small.groupBy("msg_id").agg(F.collect_list(F.struct("g", "s", "p", "o")).alias("q"))
+    few, many = (sizes.where(c).select("msg_id") for c in (F.col("n") <= limit, F.col("n") > limit))
+    # most rows are told by the bits of the messages; only where both have one is the message looked up
+    flagged = with_flags(quads, _few=key_bits(few), _many=key_bits(many))
+    unsure = flagged.where("_few and _many").drop("_few", "_many")
+    small = flagged.where("not _many").drop("_few", "_many").unionByName(unsure.join(few, "msg_id", "left_semi"))
+    large = flagged.where("not _few").drop("_few", "_many").unionByName(unsure.join(many, "msg_id", "left_semi"))
+    # moved as they are: gathered before, rows would be sorted once more
+    rows = small.repartition("msg_id").groupBy("msg_id").agg(F.collect_list(F.struct("g", "s", "p", "o")).alias("q"))
     g, triples, meta = P.split_nested(F.col("q"))
     nested_rows = rows.select("msg_id", g.alias("payload_g"), triples.alias("triples"), meta.alias("meta"))
     return nested_rows, large
@@ -80,10 +87,7 @@ def translate_mixed(quads: DataFrame, program: Program, limit: int = NESTED_LIMI
     rest. Worth it for programs with many steps: the nested part shuffles once in all."""
     small, large = nest_quads(quads, limit)
     done = translate_small(small, program)
-    payload_rows = done.select("msg_id", F.col("payload_g").alias("g"), F.inline_outer("triples"))
-    meta_rows = done.select("msg_id", F.inline_outer("meta"))
-    out = payload_rows.unionByName(meta_rows).where(F.col("s").isNotNull())
-    return out.unionByName(translate_quads(cut(large), program, cut=cut))
+    return to_long(done).unionByName(translate_quads(cut(large), program, cut=cut))
 
 
 def messages_from_triples(df: DataFrame, graph: str = V.DEFAULT_GRAPH) -> DataFrame:
