@@ -1,6 +1,7 @@
 """Cells whose join shows what stays: the same graphs as by the general way, and nothing deleted is written."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadloom import vocab as V
 from quadloom.operators import nested, relational as R
@@ -66,3 +67,18 @@ def test_cells_that_one_join_does_not_settle_take_the_general_way():
     three = Cell("three", (t("?s", X + "a", "?v"), t("?s", X + "b", "?w"), t("?s", X + "c", "?u")), ())
     twice = Cell("twice", (t("?s", X + "a", "?v"), t("?v", X + "a", "?w")), ())
     assert not R._by_join(compile_cell(three)) and not R._by_join(compile_cell(twice)) and R._by_join(compile_cell(PAIR))
+
+
+@pytest.mark.parametrize("cell", [PAIR, CROSS, FRESH], ids=lambda c: c.cell_id)
+def test_pairs_are_moved_once(spark, cell):
+    long, _ = frames(spark, GRAPHS)
+    plan = R.apply_cell(long, compile_cell(cell))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("cell", [PAIR, CROSS, FRESH], ids=lambda c: c.cell_id)
+def test_absent_messages_meet_nothing(spark, cell):
+    long = _long(spark)
+    lost = long.where("msg_id = 'm1'").withColumn("msg_id", F.lit(None).cast("string"))
+    done = R.apply_cell(long.unionByName(lost), compile_cell(cell))
+    assert as_set(done.where("msg_id is null")) == as_set(lost) and as_set(done.where("msg_id is not null")) == _by_flags(long, cell)
