@@ -59,3 +59,12 @@ def test_references_against_a_base(spark):
         if r["b"].startswith("urn"):
             want = r["b"] + r["n"] if r["n"].startswith("#") else "urn:" + r["n"]
         assert r["got"] == want, (r["b"], r["n"])
+
+
+def test_definitions_and_graphs_are_evaluated_once(spark):
+    def uses(column):
+        return str(column._jc).count("marked")
+
+    assert uses(J._merge(F.col("old"), F.col("marked"))) == 1
+    assert uses(J._nodes_json(F.col("marked"))) == 1
+    assert uses(J.message_to_jsonld(F.col("g"), F.col("t"), F.col("marked"))) == 1
